@@ -86,3 +86,35 @@ reviews AS (
          {sql_place_split('doc_id::VARCHAR')} AS split
   FROM documents
 )"""
+
+
+def annotated(spark: SparkSession, sf: str) -> DataFrame:
+    """Reviews with one annotation per aspect word; labels and confidences follow from the offset."""
+    from reviewspark.functions.spans import find_spans
+    from reviewspark.schemas import ANNOTATION
+
+    def build(a):
+        s = a["start"]
+        values = {
+            "aspect_term": a["term"], "aspect_start": s, "aspect_end": a["end"],
+            "sentiment": F.when(s % 3 == 0, "positif").when(s % 3 == 1, "neg").otherwise("neutral"),
+            "aspect_category": F.lower(a["term"]), "implicit": F.lit(False), "relation": F.lit(True),
+            "annotation_confidence": F.round(F.lit(0.8) + (s % 20) / 100, 2), "sample_weight": F.lit(1.0),
+        }
+        return F.struct(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in ANNOTATION.fields])
+
+    return reviews(spark, sf).withColumns({
+        "raw_text": F.col("text"),
+        "annotations": F.transform(find_spans(F.col("text"), ASPECT_RE), build),
+        "source_dataset": F.col("domain"), "source_record_id": F.col("id"),
+        "annotation_status": F.lit("dataset_release"), "family_id": F.lit(None).cast("string"),
+    })
+
+
+SQL_ANNOTATED = SQL_SPANS + f""",
+ann AS (
+  SELECT a.doc_id::VARCHAR AS id, a.doc_id, a.s, a.e, a.term, row_number() OVER (PARTITION BY a.doc_id ORDER BY a.s) - 1 AS idx,
+    CASE a.s % 3 WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' ELSE 'neutral' END AS sentiment,
+    round(0.8::DOUBLE + (a.s % 20) / 100.0::DOUBLE, 2) AS conf
+  FROM asp a
+),{SQL_REVIEWS}"""

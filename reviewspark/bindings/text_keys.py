@@ -191,7 +191,8 @@ WITH x AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type E
    CASE event_id % 5 WHEN 0 THEN 'TRUE' WHEN 1 THEN ' 0' WHEN 2 THEN 'yes' WHEN 3 THEN 'maybe' ELSE NULL END AS flag,
    CASE event_id % 4 WHEN 0 THEN event_id::VARCHAR WHEN 1 THEN event_id || '.0' WHEN 2 THEN event_id || '.5' ELSE 'n/a' END AS num FROM events)
 SELECT event_id, CASE WHEN a <> '' THEN a ELSE b END AS picked,
-  CASE WHEN lower(trim(flag)) IN ('true','1') THEN TRUE WHEN lower(trim(flag)) IN ('false','0') THEN FALSE END AS strict_flag,
+  CASE WHEN lower(trim(flag)) IN ('true','1') THEN TRUE WHEN lower(trim(flag)) IN ('false','0') THEN FALSE END IS NOT NULL AS strict_known,
+  coalesce(lower(trim(flag)) IN ('true','1'), FALSE) AS strict_true,
   coalesce(lower(trim(flag)) IN ('1','true','yes','y'), FALSE) AS tolerant_flag,
   CASE WHEN event_id % 4 IN (0,1) THEN event_id::INTEGER ELSE -1 END AS whole FROM x""")
 def coercions(spark, sf):
@@ -200,7 +201,8 @@ def coercions(spark, sf):
     num = F.expr("CASE event_id % 4 WHEN 0 THEN string(event_id) WHEN 1 THEN event_id || '.0' WHEN 2 THEN event_id || '.5' ELSE 'n/a' END")
     a = F.when(F.col("event_id") % 3 == 0, "").otherwise(F.col("event_type"))
     return e.select(
-        "event_id", tx.first_nonempty(a, F.col("event_type")).alias("picked"), tx.strict_bool(flag).alias("strict_flag"),
+        "event_id", tx.first_nonempty(a, F.col("event_type")).alias("picked"), tx.strict_bool(flag).isNotNull().alias("strict_known"),
+        F.coalesce(tx.strict_bool(flag), F.lit(False)).alias("strict_true"),
         tx.tolerant_bool(flag).alias("tolerant_flag"), F.coalesce(tx.int_or_null(num), F.lit(-1)).alias("whole"),
     )
 

@@ -16,7 +16,10 @@ from reviewspark import lexicons as lx
 SAMPLE_BYTES = 65_536
 MAX_FILE_BYTES = 100 * 1024 * 1024
 ENCODINGS = ["utf-8-sig", "utf-8", "cp1252", "latin-1"]
-SPARK_CHARSETS = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}
+SPARK_CHARSETS = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "ISO-8859-1", "latin-1": "ISO-8859-1"}
+# The reader has no Windows-1252 charset: read the bytes as Latin-1 and map the 32 code points that differ.
+_C1 = [chr(b) for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore")]
+_C1_AS_CP1252 = "".join(bytes([ord(c)]).decode("cp1252") for c in _C1)
 
 
 def _decodes(sample: bytes, encoding: str) -> bool:
@@ -93,7 +96,7 @@ def number_rows(scan: DataFrame, first: int = 1, out: str = "row_number") -> Dat
     small row per split, give the offset.
     """
     base = scan.select(
-        *scan.columns, F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
+        *[c for c in scan.columns if c != "_metadata"], F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_seq"),
     )
     sizes = base.groupBy("_path", "_block").agg(F.count(F.lit(1)).alias("_n"))
@@ -114,6 +117,8 @@ def read_reviews_csv(spark: SparkSession, path, delimiter: str = ",", encoding:
         spark.read.option("header", True).option("sep", delimiter).option("quote", '"').option("escape", '"')
         .option("multiLine", multiline).option("encoding", SPARK_CHARSETS.get(encoding, encoding)).csv(path)
     )
+    if encoding == "cp1252":
+        raw = raw.select(*[F.translate(F.col(f"`{c}`"), "".join(_C1), _C1_AS_CP1252).alias(c) for c in raw.columns], "_metadata")
     numbered = number_rows(raw, first=2)
     return with_roles(numbered.withColumnRenamed("row_number", "_row_number"), aliases).withColumnsRenamed(
         {"_row_number": "row_number", "_path": "path"}

@@ -87,7 +87,6 @@ def assign_offsets(df: DataFrame, text: str, term: str, record: str, position: s
     low_text, low_term = F.lower(F.col(text)), F.lower(F.col(term))
     hits = F.size(F.split(low_text, F.concat(F.lit("\\Q"), low_term, F.lit("\\E")), -1)) - 1
     nth = F.least(F.row_number().over(w), hits)
-    head = F.substring_index(low_text, low_term, nth)
     ranked = df.withColumn("_hits", F.when(F.trim(F.col(term)) != "", hits).otherwise(F.lit(0))).withColumn("_nth", nth)
     head = F.expr(f"substring_index(lower(`{text}`), lower(`{term}`), _nth)")
     start = F.when(F.col("_hits") > 0, F.length(head))
@@ -253,16 +252,19 @@ def read_category_corpus(df: DataFrame, wide: dict[str, list[str]] | None = None
     })
 
 
-def read_annotation_folder(spark: SparkSession, folder: str, schema=None, globs=("*.csv", "*.jsonl", "*.json")) -> DataFrame:
-    """A staged folder of CSV, JSON-lines and JSON exports as one frame."""
+FOLDER_KINDS = {"*.csv": "csv", "*.jsonl": "lines", "*.json": "list"}
+
+
+def read_annotation_folder(spark: SparkSession, folder: str, schema=None, kinds: dict[str, str] | None = None) -> DataFrame:
+    """A staged folder of CSV, JSON-lines and JSON-list exports as one frame."""
     schema = schema or "review_id string, place_id string, domain string, review_text_raw string, annotations_json string, human_status string, suggested_split string, duplicate_status string"
     out = None
-    for pattern in globs:
+    for pattern, kind in (kinds or FOLDER_KINDS).items():
         reader = spark.read.schema(schema).option("pathGlobFilter", pattern)
-        if pattern.endswith(".csv"):
+        if kind == "csv":
             part = reader.option("header", True).option("escape", '"').option("multiLine", True).csv(folder)
         else:
-            part = reader.option("multiLine", not pattern.endswith(".jsonl")).json(folder)
+            part = reader.option("multiLine", kind == "list").json(folder)
         part = part.withColumn("file_name", F.col("_metadata.file_name"))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
