@@ -113,3 +113,48 @@ def lookup_by_key(
 def distinct_keys(df: DataFrame, *cols: str) -> DataFrame:
     """Distinct values; an aggregate, so repeats collapse before the shuffle."""
     return df.select(*cols).distinct()
+
+
+def exact_percentiles(df: DataFrame, value: str, fractions: Sequence[float], keys: Sequence[str] = (), slices: int = 4096,
+                      method: str = "linear") -> DataFrame:
+    """Exact percentiles per key without gathering a group in one task.
+
+    Equal values are counted first.  The value range of each key is cut into
+    slices; slice counts locate the slice that holds a wanted rank, and only the
+    distinct values of those slices are ordered.  ``linear`` interpolates between
+    neighbours, ``nearest`` picks the value at ``round((n - 1) * p)``.
+    """
+    keys = list(keys) or ["_all"]
+    base = df if keys != ["_all"] else df.withColumn("_all", F.lit(0))
+    values = base.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    stats = values.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
+    width = F.when(F.col("_hi") > F.col("_lo"), (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(F.lit(0.0))
+    sliced = values.join(stats, keys).withColumn("_s", F.floor(width * (slices - 1)).cast("int"))
+    per_slice = sliced.groupBy(*keys, "_s").agg(F.sum("_c").alias("_sc"), F.first("_n").alias("_n"))
+    before = W.partitionBy(*keys).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
+    bounds = per_slice.withColumn("_from", F.coalesce(F.sum("_sc").over(before), F.lit(0)))
+    wanted = F.array(*[F.lit(float(p)) for p in fractions])
+    position = (F.col("_n") - 1) * F.col("p")
+    # half-even, as the nearest-rank roll-up asks for
+    lower = F.floor(position) if method == "linear" else F.bround(position, 0).cast("bigint")
+    upper = F.ceil(position) if method == "linear" else lower
+    targets = stats.select(*keys, "_n", F.explode(wanted).alias("p")).withColumn("_ranks", F.array_distinct(F.array(lower, upper)))
+    targets = targets.withColumn("_rank", F.explode("_ranks")).drop("_ranks")
+    located = targets.join(bounds.select(*keys, "_s", "_from", "_sc"), keys).where(
+        (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_from") + F.col("_sc"))
+    )
+    inside = W.partitionBy(*keys, "_s").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    hot = sliced.join(located.select(*keys, "_s", "_from").distinct(), [*keys, "_s"])
+    ordered = hot.withColumn("_end", F.col("_from") + F.sum("_c").over(inside)).withColumn("_start", F.col("_end") - F.col("_c"))
+    found = located.select(*keys, "_s", "p", "_rank", "_n").join(ordered.select(*keys, "_s", "_v", "_start", "_end"), [*keys, "_s"]).where(
+        (F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_end"))
+    )
+    both = found.groupBy(*keys, "p", "_n").agg(F.min_by("_v", "_rank").alias("_a"), F.max_by("_v", "_rank").alias("_b"))
+    share = position - F.floor(position)
+    out = both.withColumn("value", F.col("_a") + (F.col("_b") - F.col("_a")) * share if method == "linear" else F.col("_a"))
+    return out.select(*[k for k in keys if k != "_all"], "p", "value")
+
+
+def digest(text: Column) -> Column:
+    """64 hex digits in place of a long text key: what a shuffle carries."""
+    return F.sha2(text, 256)
