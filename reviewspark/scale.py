@@ -158,3 +158,30 @@ def exact_percentiles(df: DataFrame, value: str, fractions: Sequence[float], key
 def digest(text: Column) -> Column:
     """64 hex digits in place of a long text key: what a shuffle carries."""
     return F.sha2(text, 256)
+
+
+def hash_running(df: DataFrame, keys: Sequence[str], digest_: Column, measure: str, out: str = "running", prefix: int = 4) -> DataFrame:
+    """Exact running sum of ``measure`` (own row included) in digest order inside each key, in slices."""
+    sliced = df.withColumn("_digest", digest_).withColumn("_slice", F.substring("_digest", 1, prefix))
+    sizes = sliced.groupBy(*keys, "_slice").agg(F.sum(measure).alias("_m"))
+    before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, "_slice", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_offset"))
+    inside = W.partitionBy(*keys, "_slice").orderBy("_digest", *_tie_columns(df, keys)).rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = sliced.withColumn("_in", F.sum(measure).over(inside))
+    return _null_safe_join(ranked, offsets, [*keys, "_slice"]).withColumn(out, F.col("_offset") + F.col("_in")).drop(
+        "_digest", "_slice", "_offset", "_in")
+
+
+def running_over_scores(points: DataFrame, score: str, measures: Sequence[str], keys: Sequence[str] = (), slices: int = 4096) -> DataFrame:
+    """Running sums from the highest score down over one row per distinct score in [0, 1]."""
+    keys = list(keys) or ["_all"]
+    base = points if keys != ["_all"] else points.withColumn("_all", F.lit(0))
+    sliced = base.withColumn("_s", -F.floor(F.col(score) * (slices - 1)).cast("int"))
+    sums = sliced.groupBy(*keys, "_s").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
+    before = W.partitionBy(*keys).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select(*keys, "_s", *[F.coalesce(F.sum(f"_t_{m}").over(before), F.lit(0)).alias(f"_o_{m}") for m in measures])
+    inside = W.partitionBy(*keys, "_s").orderBy(F.col(score).desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    run = sliced.select("*", *[F.sum(m).over(inside).alias(f"_i_{m}") for m in measures])
+    out = run.join(offsets, [*keys, "_s"])
+    out = out.withColumns({f"run_{m}": F.col(f"_o_{m}") + F.col(f"_i_{m}") for m in measures})
+    return out.drop("_s", "_all", *[f"_{k}_{m}" for k in "oi" for m in measures])
