@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewspark.functions import text as tx
 from reviewspark.registry import table
+from reviewspark.scale import spread
 
 # Lexicons of words that occur in the driver corpus (the corpus is invented prose).
 ASPECT_WORDS = ["this", "from", "sich", "dans", "los", "than", "mit", "par"]
@@ -64,7 +65,7 @@ opn AS (SELECT doc_id, s, e, term FROM tok WHERE lower(term) IN ({sql_list(OPINI
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
 
 
 def reviews(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,29 +5,52 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from reviewspark.scale import let
+
 SPAN = "struct<start:int,end:int,term:string>"
 
 
+CHUNK = 64
+
+
+def place(lengths_and_items: Column, length, build, item_type: str) -> Column:
+    """Running offsets over an array: ``build(item, start)`` for every item.
+
+    Appending to a growing array is quadratic, so items are placed in chunks
+    first and the chunks are shifted afterwards.
+    """
+    n = F.size(lengths_and_items)
+    chunks = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(CHUNK)), lambda i: F.slice(lengths_and_items, i + 1, F.lit(CHUNK)))
+    empty = F.array().cast(f"array<struct<at:int,item:{item_type}>>")
+
+    def inner(acc, x):
+        return F.struct((acc["pos"] + length(x)).cast("int").alias("pos"), F.concat(acc["out"], F.array(F.struct(acc["pos"].alias("at"), x.alias("item")))).alias("out"))
+
+    local = F.transform(chunks, lambda c: F.aggregate(c, F.struct(F.lit(0).alias("pos"), empty.alias("out")), inner))
+    none = F.array().cast("array<int>")
+    starts = F.aggregate(local, F.struct(F.lit(0).alias("pos"), none.alias("out")), lambda acc, c: F.struct(
+        (acc["pos"] + c["pos"]).alias("pos"), F.concat(acc["out"], F.array(acc["pos"])).alias("out")), lambda acc: acc["out"])
+    return let(F.struct(local.alias("l"), starts.alias("s")), lambda v: F.flatten(F.zip_with(
+        v["l"], v["s"], lambda c, off: F.transform(c["out"], lambda x: build(x["item"], x["at"] + off)))))
+
+
 def find_spans(text: Column, pattern: str) -> Column:
     """All non-overlapping matches as ``array<struct<start,end,term>>``.
 
     Offsets come from running lengths of the pieces between matches, so they are
     code points even after emoji, and the text never leaves the JVM.
     """
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.split(text, pattern, -1), 1, F.greatest(F.size(hits), F.lit(0)))
-    pieces = F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("term")))
-    empty = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{SPAN}>").alias("spans"))
-
-    def step(acc, piece):
-        start = acc["pos"] + piece["gap"]
-        end = start + F.length(piece["term"])
-        span = F.struct(start.alias("start"), end.alias("end"), piece["term"].alias("term"))
-        return F.struct(end.alias("pos"), F.concat(acc["spans"], F.array(span)).alias("spans"))
-
-    return F.when(F.size(hits) > 0, F.aggregate(pieces, empty, step, lambda acc: acc["spans"])).otherwise(
-        F.array().cast(f"array<{SPAN}>")
-    )
+    none = F.array().cast(f"array<{SPAN}>")
+
+    def spans_of(hits):
+        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(hits))
+        pieces = F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("term")))
+        return place(
+            pieces, lambda p: p["gap"] + F.length(p["term"]),
+            lambda p, at: F.struct((at + p["gap"]).alias("start"), (at + p["gap"] + F.length(p["term"])).alias("end"), p["term"].alias("term")),
+            "struct<gap:int,term:string>")
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: F.when(F.size(hits) > 0, spans_of(hits)).otherwise(none))
 
 
 def slice_text(text: Column, start: Column, end: Column) -> Column:

@@ -12,6 +12,7 @@ from reviewspark import lexicons as lx
 from reviewspark.functions import text as tx
 from reviewspark.functions.spans import gap_text, overlaps
 from reviewspark.operators.spans import head_key
+from reviewspark.scale import let
 
 WHITESPACE = " \t\n\r\x0b\x0c"
 COORDINATORS = ["dan", "and", "serta", "&", "と", "و"]
@@ -123,13 +124,17 @@ def aspect_only(docs: DataFrame, kept: DataFrame, key: str = "doc_id") -> DataFr
 def nearest_opinions(text: Column, aspects: Column, opinions: Column, k: int = 1, reach: int = 90) -> Column:
     """Per aspect the ``k`` nearest opinions of the same sentence: array<struct<aspect, opinions>>."""
     def of(a):
-        left, right = tx.sentence_left(text, a["start"]), tx.sentence_right(text, a["end"])
-        inside = F.filter(opinions, lambda o: (o["start"] >= left) & (o["end"] <= right))
-        dist = F.transform(inside, lambda o: F.struct(
-            F.when(o["end"] <= a["start"], a["start"] - o["end"]).when(o["start"] >= a["end"], o["start"] - a["end"]).otherwise(0).alias("distance"),
-            (-o["score"]).alias("s"), o["start"].alias("p"), o.alias("o")))
-        near = F.slice(F.array_sort(F.filter(dist, lambda d: d["distance"] <= reach)), 1, k)
-        return F.struct(a.alias("aspect"), F.transform(near, lambda d: F.struct(d["distance"].alias("distance"), d["o"].alias("opinion"))).alias("opinions"))
+        bounds = F.struct(tx.sentence_left(text, a["start"]).alias("left"), tx.sentence_right(text, a["end"]).alias("right"))
+
+        def near(v):
+            inside = F.filter(opinions, lambda o: (o["start"] >= v["left"]) & (o["end"] <= v["right"]))
+            dist = F.transform(inside, lambda o: F.struct(
+                F.when(o["end"] <= a["start"], a["start"] - o["end"]).when(o["start"] >= a["end"], o["start"] - a["end"]).otherwise(0).alias("distance"),
+                (-o["score"]).alias("s"), o["start"].alias("p"), o.alias("o")))
+            best = F.slice(F.array_sort(F.filter(dist, lambda d: d["distance"] <= reach)), 1, k)
+            return F.struct(a.alias("aspect"), F.transform(best, lambda d: F.struct(d["distance"].alias("distance"), d["o"].alias("opinion"))).alias("opinions"))
+
+        return let(bounds, near)
 
     return F.transform(aspects, of)
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from reviewspark import lexicons as lx
 from reviewspark.functions import text as tx
 from reviewspark.functions.spans import find_spans, overlaps, span_iou
+from reviewspark.scale import let
 
 SPAN = "struct<start:int,end:int,score:double,source_view:string,is_recovery:boolean,family:string>"
 SPANS = f"array<{SPAN}>"
@@ -194,17 +195,22 @@ def split_coordinated(text: Column, spans: Column, category_confidence, floor: f
     (null if it has none).
     """
     def parts_of(s):
-        surface = F.substring(text, s["start"] + 1, s["end"] - s["start"])
-        cuts = find_spans(surface, "(?Ui)" + cut)
-        starts = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda c: c["end"]))
-        ends = F.concat(F.transform(cuts, lambda c: c["start"]), F.array(F.length(surface)))
-        raw = F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), F.substring(surface, a + 1, b - a).alias("t")))
-        trimmed = F.transform(raw, lambda r: F.struct(
-            (r["a"] + F.length(r["t"]) - F.length(F.ltrim(r["t"], F.lit(" ,")))).alias("a"), F.trim(r["t"], F.lit(" ,")).alias("t")))
-        named = F.filter(trimmed, lambda r: (r["t"] != "") & (F.coalesce(category_confidence(r["t"]), F.lit(0.0)) >= floor))
-        pieces = F.transform(named, lambda r: make_span(
-            s["start"] + r["a"], s["start"] + r["a"] + F.length(r["t"]), s["score"] * 0.97, s["source_view"], F.lit(True), s["family"]))
-        return F.when((F.size(cuts) > 0) & (F.size(named) >= 2), pieces).otherwise(F.array(s))
+        surface_of = F.substring(text, s["start"] + 1, s["end"] - s["start"])
+
+        def with_surface(surface):
+            def with_cuts(cuts):
+                starts = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda c: c["end"]))
+                ends = F.concat(F.transform(cuts, lambda c: c["start"]), F.array(F.length(surface)))
+                raw = F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), F.substring(surface, a + 1, b - a).alias("t")))
+                trimmed = F.transform(raw, lambda r: F.struct(
+                    (r["a"] + F.length(r["t"]) - F.length(F.ltrim(r["t"], F.lit(" ,")))).alias("a"), F.trim(r["t"], F.lit(" ,")).alias("t")))
+                named = F.filter(trimmed, lambda r: (r["t"] != "") & (F.coalesce(category_confidence(r["t"]), F.lit(0.0)) >= floor))
+                return let(named, lambda parts: F.when(F.size(parts) >= 2, F.transform(parts, lambda r: make_span(
+                    s["start"] + r["a"], s["start"] + r["a"] + F.length(r["t"]), s["score"] * 0.97, s["source_view"], F.lit(True), s["family"]))).otherwise(F.array(s)))
+
+            return let(find_spans(surface, "(?Ui)" + cut), lambda cuts: F.when(F.size(cuts) > 0, with_cuts(cuts)).otherwise(F.array(s)))
+
+        return F.when(surface_of.rlike("(?Ui)" + cut), let(surface_of, with_surface)).otherwise(F.array(s))
 
     return F.flatten(F.transform(spans, parts_of))
 

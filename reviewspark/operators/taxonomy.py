@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reviewspark import lexicons as lx
 from reviewspark.functions import text as tx
+from reviewspark.scale import let
 
 
 def map_category(aspect: Column, context: Column, domain_hint: Column | None = None, rules: Sequence[tuple] | None = None) -> Column:
@@ -18,35 +19,44 @@ def map_category(aspect: Column, context: Column, domain_hint: Column | None = N
     Every keyword is one ``contains`` inside the row, so there is neither a
     join nor a row per (aspect, rule).
     """
-    low_a, low_c = F.lower(F.coalesce(aspect, F.lit(""))), F.lower(F.coalesce(context, F.lit("")))
+    table = F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(t).alias("t"), F.lit(d).alias("d"), F.lit(name).alias("n"),
+                 F.array(*[F.struct(F.lit(k.lower()).alias("k"), F.lit(min(len(k.split()), 4)).alias("w")) for k in keys]).alias("keys"))
+        for i, (t, d, name, keys) in enumerate(rules or lx.TAXONOMY_RULES)
+    ])
     hint = F.coalesce(domain_hint, F.lit("")) if domain_hint is not None else F.lit("")
-    scored = []
-    for i, (tid, domain, label, keywords) in enumerate(rules or lx.TAXONOMY_RULES):
-        words = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(min(len(k.split()), 4)).alias("w")) for k in keywords])
-        in_a = F.filter(words, lambda x: F.contains(low_a, F.lower(x["k"])))
-        in_c = F.filter(words, lambda x: F.contains(low_c, F.lower(x["k"])))
-        total = (
-            F.aggregate(in_a, F.lit(0.0), lambda s, x: s + 4.0 + x["w"] * 0.35)
-            + F.aggregate(in_c, F.lit(0.0), lambda s, x: s + 0.35 + x["w"] * 0.05)
-            + F.when(hint == domain, 0.8).otherwise(0.0)
-        )
-        hits = F.concat(in_a, in_c)
-        longest = F.coalesce(F.array_max(F.transform(hits, lambda x: F.length(x["k"]))), F.lit(0))
-        row = F.struct(
-            (F.size(in_a) > 0).alias("on_aspect"), F.round(total, 9).alias("score"), F.lit(domain != "generic").alias("specific"), longest.alias("longest"),
-            F.lit(-i).alias("order"), F.lit(tid).alias("taxonomy_id"), F.lit(label).alias("label"), F.lit(domain).alias("domain"),
-            F.size(in_a).alias("na"), F.size(in_c).alias("nc"), F.slice(F.transform(hits, lambda x: x["k"]), 1, 8).alias("evidence"),
-        )
-        scored.append(F.when(F.size(hits) > 0, row))
-    best = F.array_max(F.filter(F.array(*scored), lambda r: r.isNotNull()))
-    conf = F.least(F.lit(0.93), 0.56 + 0.1 * best["na"] + 0.03 * best["nc"] + F.when(hint == best["domain"], 0.04).otherwise(0.0))
-    return F.struct(
-        F.coalesce(best["taxonomy_id"], F.lit("generic.other")).alias("taxonomy_id"), F.coalesce(best["label"], F.lit("other")).alias("label"),
-        F.coalesce(best["domain"], F.when(hint != "", hint), F.lit("generic")).alias("domain"),
-        F.when(best.isNull(), 0.0).otherwise(F.round(conf, 4)).alias("confidence"),
-        F.when(best.isNull(), "heuristic_no_match").otherwise("heuristic_aspect_first").alias("method"),
-        F.coalesce(best["evidence"], F.array().cast("array<string>")).alias("evidence"),
-    )
+    inputs = F.struct(F.lower(F.coalesce(aspect, F.lit(""))).alias("a"), F.lower(F.coalesce(context, F.lit(""))).alias("c"), hint.alias("h"))
+
+    def score(r, v):
+        hits = F.struct(F.filter(r["keys"], lambda x: F.contains(v["a"], x["k"])).alias("a"), F.filter(r["keys"], lambda x: F.contains(v["c"], x["k"])).alias("c"))
+
+        def row(m):
+            total = (
+                F.aggregate(m["a"], F.lit(0.0), lambda s, x: s + 4.0 + x["w"] * 0.35) + F.aggregate(m["c"], F.lit(0.0), lambda s, x: s + 0.35 + x["w"] * 0.05)
+                + F.when(v["h"] == r["d"], 0.8).otherwise(0.0))
+            words = F.transform(F.concat(m["a"], m["c"]), lambda x: x["k"])
+            return F.when((F.size(m["a"]) > 0) | (F.size(m["c"]) > 0), F.struct(
+                (F.size(m["a"]) > 0).alias("on_aspect"), F.round(total, 9).alias("score"), (r["d"] != "generic").alias("specific"),
+                F.array_max(F.transform(words, lambda k: F.length(k))).alias("longest"), (-r["i"]).alias("order"), r["t"].alias("taxonomy_id"),
+                r["n"].alias("label"), r["d"].alias("domain"), F.size(m["a"]).alias("na"), F.size(m["c"]).alias("nc"), F.slice(words, 1, 8).alias("evidence")))
+
+        return let(hits, row)
+
+    def result(v):
+        best_of = F.array_max(F.filter(F.transform(table, lambda r: score(r, v)), lambda r: r.isNotNull()))
+
+        def shape(best):
+            conf = F.least(F.lit(0.93), 0.56 + 0.1 * best["na"] + 0.03 * best["nc"] + F.when(v["h"] == best["domain"], 0.04).otherwise(0.0))
+            return F.struct(
+                F.coalesce(best["taxonomy_id"], F.lit("generic.other")).alias("taxonomy_id"), F.coalesce(best["label"], F.lit("other")).alias("label"),
+                F.coalesce(best["domain"], F.when(v["h"] != "", v["h"]), F.lit("generic")).alias("domain"),
+                F.when(best.isNull(), 0.0).otherwise(F.round(conf, 4)).alias("confidence"),
+                F.when(best.isNull(), "heuristic_no_match").otherwise("heuristic_aspect_first").alias("method"),
+                F.coalesce(best["evidence"], F.array().cast("array<string>")).alias("evidence"))
+
+        return let(best_of, shape)
+
+    return let(inputs, result)
 
 
 def map_category_with_heads(aspect: Column, context: Column, domain_hint: Column | None = None, rules=None) -> Column:

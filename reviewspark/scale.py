@@ -29,6 +29,21 @@ def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for CPU-heavy row work when the input has fewer splits than cores.
+
+    A no-op on a large table, whose scan already has far more splits than cores:
+    its text is never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def let(value: Column, fn) -> Column:
+    """Evaluate ``value`` once and hand it to ``fn``; lambdas have no common-subexpression elimination."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def best_per_key(df: DataFrame, keys: Sequence[str], order: Column, columns: Sequence[str] | None = None) -> DataFrame:
     """One row per key, the one with the smallest ``order`` struct.
 
