@@ -19,19 +19,32 @@ def place(lengths_and_items: Column, length, build, item_type: str) -> Column:
     Appending to a growing array is quadratic, so items are placed in chunks
     first and the chunks are shifted afterwards.
     """
-    n = F.size(lengths_and_items)
-    chunks = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(CHUNK)), lambda i: F.slice(lengths_and_items, i + 1, F.lit(CHUNK)))
     empty = F.array().cast(f"array<struct<at:int,item:{item_type}>>")
+    none = F.array().cast("array<int>")
 
     def inner(acc, x):
         return F.struct((acc["pos"] + length(x)).cast("int").alias("pos"), F.concat(acc["out"], F.array(F.struct(acc["pos"].alias("at"), x.alias("item")))).alias("out"))
 
-    local = F.transform(chunks, lambda c: F.aggregate(c, F.struct(F.lit(0).alias("pos"), empty.alias("out")), inner))
-    none = F.array().cast("array<int>")
-    starts = F.aggregate(local, F.struct(F.lit(0).alias("pos"), none.alias("out")), lambda acc, c: F.struct(
-        (acc["pos"] + c["pos"]).alias("pos"), F.concat(acc["out"], F.array(acc["pos"])).alias("out")), lambda acc: acc["out"])
-    return let(F.struct(local.alias("l"), starts.alias("s")), lambda v: F.flatten(F.zip_with(
-        v["l"], v["s"], lambda c, off: F.transform(c["out"], lambda x: build(x["item"], x["at"] + off)))))
+    def placed(items):
+        chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(CHUNK)), lambda i: F.slice(items, i + 1, F.lit(CHUNK)))
+        local = F.transform(chunks, lambda c: F.aggregate(c, F.struct(F.lit(0).alias("pos"), empty.alias("out")), inner))
+
+        def shifted(parts):
+            starts = F.aggregate(parts, F.struct(F.lit(0).alias("pos"), none.alias("out")), lambda acc, c: F.struct(
+                (acc["pos"] + c["pos"]).alias("pos"), F.concat(acc["out"], F.array(acc["pos"])).alias("out")), lambda acc: acc["out"])
+            return F.flatten(F.zip_with(parts, starts, lambda c, off: F.transform(c["out"], lambda x: build(x["item"], x["at"] + off))))
+
+        return let(local, shifted)
+
+    # bound once: every chunk slices the same evaluated array
+    return let(lengths_and_items, placed)
+
+
+def first_span(text: Column, pattern: str) -> Column:
+    """The first match as struct(start, end, term), or null."""
+    head = F.get(F.split(text, pattern, 2), F.lit(0))
+    term = F.regexp_extract(text, pattern, 0)
+    return F.when(text.rlike(pattern), F.struct(F.length(head).alias("start"), (F.length(head) + F.length(term)).alias("end"), term.alias("term")))
 
 
 def find_spans(text: Column, pattern: str) -> Column:

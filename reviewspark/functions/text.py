@@ -126,8 +126,10 @@ def split_number_unit(token: Column) -> Column:
 
 def token_class(token: Column, index: Column) -> Column:
     """Why a token must not be rewritten, or null if it may be."""
+    # plain lower-case words, the bulk of any text, need none of the patterns below
     return (
-        F.when(token.isin(lx.PROTECTED_MARKERS), "annotation_marker")
+        F.when(token.rlike(r"^\p{Ll}+$"), F.lit(None).cast("string"))
+        .when(token.isin(lx.PROTECTED_MARKERS), "annotation_marker")
         .when(token.rlike(r"(?i)^(?:https?://\S+|www\.\S+)$"), "url")
         .when(token.rlike(r"(?U)^[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}$"), "email")
         .when(token.startswith("#"), "hashtag")

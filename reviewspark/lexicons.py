@@ -555,7 +555,7 @@ def region_dims(spark: SparkSession, provinces=None, regions=None) -> tuple[Data
         [(c, n, t, p_, [n, *a]) for c, n, t, p_, a in regions],
         "code string, name string, location_type string, province string, names array<string>",
     )
-    province_alias = p.select(location_key(F.explode("names")).alias("alias"), "province").distinct()
+    province_alias = p.select("province", F.explode("names").alias("raw")).select(location_key(F.col("raw")).alias("alias"), "province").distinct()
     region_alias = r.select("code", "name", "location_type", "province", F.explode("names").alias("raw")).select(
         location_key(F.col("raw")).alias("alias"), "code", "name", "location_type", "province"
     ).distinct()

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from reviewspark import lexicons as lx
 from reviewspark.functions import text as tx
-from reviewspark.functions.spans import find_spans
+from reviewspark.functions.spans import find_spans, first_span
 from reviewspark.operators.taxonomy import fallback_category
+from reviewspark.scale import let
 
 TUPLE = "struct<aspect:string,opinion:string,sentiment:string,category:string,confidence:double,start:int,end:int,method:string>"
 
@@ -123,38 +124,50 @@ def _new_target(clause: Column) -> Column:
 
 def local_context(text: Column, start: Column, end: Column, peers: Column, max_chars: int = 420, contrast: str = lx.LOCAL_CONTRAST) -> Column:
     """struct(left, right) of the sentence around a span, cut at contrast words that lead to another target."""
-    left0, right0 = tx.sentence_left(text, start), tx.sentence_right(text, end)
-    markers = F.transform(find_spans(F.substring(text, left0 + 1, right0 - left0), "(?Ui)" + contrast), lambda m: F.struct(
-        (left0 + m["start"]).alias("s"), (left0 + m["end"]).alias("e")))
-    others = F.filter(peers, lambda p: ~((p["start"] == start) & (p["end"] == end)))
-
-    def step(acc, m):
-        right_peer = F.exists(others, lambda p: (p["start"] >= m["e"]) & (p["start"] < acc["right"]))
-        left_peer = F.exists(others, lambda p: (p["end"] <= m["s"]) & (p["end"] > acc["left"]))
-        cut_right = ~acc["done"] & (end <= m["s"]) & (right_peer | _new_target(F.substring(text, m["e"] + 1, acc["right"] - m["e"])))
-        cut_left = ~acc["done"] & (start >= m["e"]) & (left_peer | _new_target(F.substring(text, acc["left"] + 1, m["s"] - acc["left"])))
-        return F.struct(
-            F.when(cut_left, m["e"]).otherwise(acc["left"]).cast("int").alias("left"), F.when(cut_right, m["s"]).otherwise(acc["right"]).cast("int").alias("right"),
-            (acc["done"] | cut_right).alias("done"))
-
-    first = F.struct(left0.cast("int").alias("left"), right0.cast("int").alias("right"), F.lit(False).alias("done"))
-    cut = F.aggregate(markers, first, step)
-    wide = cut["right"] - cut["left"] > max_chars
     half = max_chars // 2
-    return F.struct(
-        F.when(wide, F.greatest(F.lit(0), start - half)).otherwise(cut["left"]).alias("left"),
-        F.when(wide, F.least(F.length(text), end + half)).otherwise(cut["right"]).alias("right"))
+
+    def within(v):
+        found = F.transform(find_spans(F.substring(text, v["left"] + 1, v["right"] - v["left"]), "(?Ui)" + contrast), lambda m: F.struct(
+            (v["left"] + m["start"]).alias("s"), (v["left"] + m["end"]).alias("e")))
+        others = F.filter(peers, lambda p: ~((p["start"] == start) & (p["end"] == end)) & (p["end"] > v["left"]) & (p["start"] < v["right"]))
+
+        def walk(o):
+            def step(acc, m):
+                right_peer = F.exists(o, lambda p: (p["start"] >= m["e"]) & (p["start"] < acc["right"]))
+                left_peer = F.exists(o, lambda p: (p["end"] <= m["s"]) & (p["end"] > acc["left"]))
+                cuts = F.struct(
+                    (~acc["done"] & (end <= m["s"]) & (right_peer | _new_target(F.substring(text, m["e"] + 1, acc["right"] - m["e"])))).alias("r"),
+                    (~acc["done"] & (start >= m["e"]) & (left_peer | _new_target(F.substring(text, acc["left"] + 1, m["s"] - acc["left"])))).alias("l"))
+                return let(cuts, lambda c: F.struct(
+                    F.when(c["l"], m["e"]).otherwise(acc["left"]).cast("int").alias("left"), F.when(c["r"], m["s"]).otherwise(acc["right"]).cast("int").alias("right"),
+                    (acc["done"] | c["r"]).alias("done")))
+
+            cut_of = F.aggregate(found, F.struct(v["left"].alias("left"), v["right"].alias("right"), F.lit(False).alias("done")), step)
+
+            def sized(cut):
+                wide = cut["right"] - cut["left"] > max_chars
+                return F.struct(
+                    F.when(wide, F.greatest(F.lit(0), start - half)).otherwise(cut["left"]).alias("left"),
+                    F.when(wide, F.least(F.length(text), end + half)).otherwise(cut["right"]).alias("right"))
+
+            return let(cut_of, sized)
+
+        return let(others, walk)
+
+    return let(F.struct(tx.sentence_left(text, start).cast("int").alias("left"), tx.sentence_right(text, end).cast("int").alias("right")), within)
 
 
 def marked_context(text: Column, start: Column, end: Column, peers: Column, o_start: Column | None = None, o_end: Column | None = None, max_chars: int = 420) -> Column:
     """Local context with the aspect marked and, if it lies inside, the opinion too."""
-    ctx = local_context(text, start, end, peers, max_chars)
-    left, right = ctx["left"], ctx["right"]
-    piece = F.substring(text, left + 1, right - left)
-    if o_start is None:
-        return tx.mark_pair(piece, start - left, end - left)
-    inside = (o_start >= left) & (o_start < o_end) & (o_end <= right) & ((o_end <= start) | (o_start >= end))
-    return tx.mark_pair(piece, start - left, end - left, F.when(inside, o_start - left), F.when(inside, o_end - left))
+    def marked(v):
+        s, e = start - v["left"], end - v["left"]
+        if o_start is None:
+            return tx.mark_pair(v["piece"], s, e)
+        inside = (o_start >= v["left"]) & (o_start < o_end) & (o_end <= v["right"]) & ((o_end <= start) | (o_start >= end))
+        return let(F.struct(F.when(inside, o_start - v["left"]).alias("s"), F.when(inside, o_end - v["left"]).alias("e")), lambda o: tx.mark_pair(v["piece"], s, e, o["s"], o["e"]))
+
+    return let(local_context(text, start, end, peers, max_chars), lambda c: let(F.struct(
+        c["left"].alias("left"), c["right"].alias("right"), F.substring(text, c["left"] + 1, c["right"] - c["left"]).alias("piece")), marked))
 
 
 def sentiment_examples(records: DataFrame, split: str, with_opinion: bool = True) -> DataFrame:
@@ -194,7 +207,7 @@ def category_examples(df: DataFrame, keywords=None, text: str = "text") -> DataF
     t = F.col(text)
     marked = None
     for cat, words in table.items():
-        spans = [F.get(find_spans(t, r"(?Ui)(?<!\w)\Q" + w + r"\E(?!\w)"), F.lit(0)) for w in sorted(words, key=len, reverse=True)]
+        spans = [first_span(t, r"(?Ui)(?<!\w)\Q" + w + r"\E(?!\w)") for w in sorted(words, key=len, reverse=True)]
         value = F.coalesce(*spans)
         marked = F.when(F.lower("category") == cat, value) if marked is None else marked.when(F.lower("category") == cat, value)
     hit = df.withColumn("_m", marked)
