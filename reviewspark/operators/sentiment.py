@@ -24,36 +24,48 @@ def rule_tuples(text: Column, threshold: float = 0.5, rules=None, negations: Seq
     .84 to .93.  One tuple per aspect word, the earlier rule first.  A negation
     anywhere in the review turns positive rules negative.
     """
-    t = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-    low = F.lower(t)
-    negated = tx.any_contains(low, lx.RULE_NEGATIONS if negations is None else negations)
     words: dict[str, list] = {}
     for rule in rules or lx.RULE_TUPLES:
         words.setdefault(rule[0], []).append(rule)
-
-    def build(aspect, opinion, sentiment, category):
-        has_opinion = F.contains(low, F.lit(opinion))
-        conf = F.when(has_opinion, 0.93).otherwise(0.84)
-        at = F.locate(aspect, low) - 1
-        op_at = F.locate(opinion, low)
-        shown = F.when(has_opinion, F.substring(t, op_at, F.lit(len(opinion)))).otherwise(opinion)
-        polarity = F.when(negated, "negative").otherwise("positive") if sentiment == "positive" else F.lit(sentiment)
-        row = F.struct(
-            F.substring(t, at + 1, F.lit(len(aspect))).alias("aspect"), shown.alias("opinion"), polarity.alias("sentiment"), F.lit(category).alias("category"),
-            conf.alias("confidence"), at.cast("int").alias("start"), (at + len(aspect)).cast("int").alias("end"), F.lit("rule").alias("method"))
-        return F.when(conf >= threshold, row)
-
-    fired = [F.when(F.contains(low, F.lit(a)), F.coalesce(*[build(*r) for r in rs])) for a, rs in words.items()]
-    found = F.filter(F.array(*fired), lambda x: x.isNotNull())
-    tokens = F.filter(F.split(t, r"(?U)\s+"), lambda w: w != "")
-    first = F.element_at(tokens, 1)
-    last = F.when(F.size(tokens) > 1, F.element_at(tokens, -1)).otherwise("bagus")
-    polarity = F.when(tx.any_contains(low, lx.RULE_POSITIVE_WORDS if positives is None else positives), "positive").otherwise("negative")
-    fallback = F.array(F.struct(
-        first.alias("aspect"), last.alias("opinion"), polarity.alias("sentiment"), fallback_category(first, t, categories).alias("category"),
-        F.lit(0.85).alias("confidence"), F.lit(0).alias("start"), F.length(first).alias("end"), F.lit("fallback").alias("method")))
     empty = F.array().cast(f"array<{TUPLE}>")
-    return F.when(t == "", empty).when(F.size(found) > 0, found).otherwise(fallback)
+
+    def of_review(v):
+        t, low, negated = v["t"], v["low"], v["negated"]
+
+        def build(aspect, opinion, sentiment, category):
+            def row(m):
+                conf = F.when(m["has"], 0.93).otherwise(0.84)
+                shown = F.when(m["has"], F.substring(t, F.locate(opinion, low), F.lit(len(opinion)))).otherwise(opinion)
+                polarity = F.when(negated, "negative").otherwise("positive") if sentiment == "positive" else F.lit(sentiment)
+                return F.when(conf >= threshold, F.struct(
+                    F.substring(t, m["at"] + 1, F.lit(len(aspect))).alias("aspect"), shown.alias("opinion"), polarity.alias("sentiment"), F.lit(category).alias("category"),
+                    conf.alias("confidence"), m["at"].cast("int").alias("start"), (m["at"] + len(aspect)).cast("int").alias("end"), F.lit("rule").alias("method")))
+
+            return let(F.struct(F.contains(low, F.lit(opinion)).alias("has"), (F.locate(aspect, low) - 1).alias("at")), row)
+
+        fired = [F.when(F.contains(low, F.lit(a)), F.coalesce(*[build(*r) for r in rs])) for a, rs in words.items()]
+
+        def fallback(_):
+            tokens = F.filter(F.split(t, r"(?U)\s+"), lambda w: w != "")
+
+            def row(ws):
+                first = F.element_at(ws, 1)
+                last = F.when(F.size(ws) > 1, F.element_at(ws, -1)).otherwise("bagus")
+                polarity = F.when(tx.any_contains(low, lx.RULE_POSITIVE_WORDS if positives is None else positives), "positive").otherwise("negative")
+                return F.array(F.struct(
+                    first.alias("aspect"), last.alias("opinion"), polarity.alias("sentiment"), fallback_category(first, t, categories).alias("category"),
+                    F.lit(0.85).alias("confidence"), F.lit(0).alias("start"), F.length(first).alias("end"), F.lit("fallback").alias("method")))
+
+            return let(tokens, row)
+
+        found = F.filter(F.array(*fired), lambda x: x.isNotNull())
+        return F.when(t == "", empty).otherwise(let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(fallback(f))))
+
+    def lowered(t):
+        return let(F.struct(t.alias("t"), F.lower(t).alias("low")), lambda v: let(F.struct(
+            v["t"].alias("t"), v["low"].alias("low"), tx.any_contains(v["low"], lx.RULE_NEGATIONS if negations is None else negations).alias("negated")), of_review))
+
+    return let(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), lowered)
 
 
 def analyze_reviews(docs: DataFrame, keys: Sequence[str], text: str = "text", **options) -> DataFrame:
