@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewspark.llm import exact_dedup, mixing, secret_scan, sharding, url_filter
+from reviewspark.llm import bpe, exact_dedup, mixing, secret_scan, sharding, url_filter
 from reviewspark.registry import query, table
 
 SQL_WORDS = "len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))"
@@ -117,3 +118,8 @@ FROM r"""
 @query("op9_bloom_cascade", SQL_URLS)
 def bloom_cascade(spark: SparkSession, sf: str) -> DataFrame:
     return url_filter.judge(table(spark, sf, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op7_lexicon_bpe")
+def lexicon_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.encode(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
