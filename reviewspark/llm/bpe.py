@@ -190,7 +190,7 @@ class Encoder:
     """
 
     def __init__(self, merges: Merges, lexicon: Lexicon | None):
-        self.merges, self.lexicon, self.chunks = merges, lexicon, {}
+        self.merges, self.lexicon, self.chunks, self.words = merges, lexicon, {}, {}
         self.pieces = regex.compile(merges.pattern)
         self.special = re.compile("|".join(re.escape(x) for x in sorted(merges.special, key=len, reverse=True))) if merges.special else None
         self.marks = tuple(merges.special)
@@ -201,13 +201,19 @@ class Encoder:
     def word(self, piece: str) -> list[int]:
         raw = piece.encode("utf-8", "surrogatepass")
         found = self.lexicon.find(raw) if self.lexicon else None
-        return self.merges.merge(raw) if found is None else found
+        if found is None:
+            found = self.merges.merge(raw)
+        if len(self.words) >= REMEMBERED:
+            self.words.clear()
+        self.words[piece] = found
+        return found
 
     def chunk(self, chunk: str) -> tuple[str, str, int]:
         plain = unicodedata.normalize("NFC", chunk)
         plain = plain.lower() if plain.isascii() else "".join(c.lower() for c in plain)
-        ids = [i for p in self.pieces.findall(plain) for i in self.word(p)]
-        out = (" ".join(map(str, ids)), " ".join(self.merges.tokens[i] for i in ids), len(ids))
+        known, tokens = self.words.get, self.merges.tokens
+        ids = [i for p in self.pieces.findall(plain) for i in known(p) or self.word(p)]
+        out = (" ".join(map(str, ids)), " ".join([tokens[i] for i in ids]), len(ids))
         if len(self.chunks) >= REMEMBERED:
             self.chunks.clear()
         self.chunks[chunk] = out
