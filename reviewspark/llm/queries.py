@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewspark.llm import bpe, exact_dedup, mixing, secret_scan, sharding, url_filter
+from reviewspark.llm import bpe, exact_dedup, mixing, ngram_join, secret_scan, sharding, toxicity, url_filter
 from reviewspark.registry import query, table
 
 SQL_WORDS = "len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))"
@@ -123,3 +123,32 @@ def bloom_cascade(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_lexicon_bpe")
 def lexicon_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op5_toxicity_chain")
+def toxicity_chain(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+SQL_NEAR = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(words[i:i + 4], ' ')) AS g FROM (
+    SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = d.doc_id"""
+
+
+@query("op6_combination_prefixes", SQL_NEAR)
+def combination_prefixes(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.near_duplicate_groups(table(spark, sf, "documents"))
