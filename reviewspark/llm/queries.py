@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewspark.llm import bpe, exact_dedup, mixing, ngram_join, secret_scan, sharding, toxicity, url_filter
+from reviewspark.llm import bpe, exact_dedup, mixing, ngram_join, quality, secret_scan, sharding, toxicity, url_filter, vector_search
 from reviewspark.registry import query, table
 
 SQL_WORDS = "len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))"
@@ -152,3 +152,13 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS co
 @query("op6_combination_prefixes", SQL_NEAR)
 def combination_prefixes(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.near_duplicate_groups(table(spark, sf, "documents"))
+
+
+@query("op2_random_indexing")
+def random_indexing(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op10_prefix_forest")
+def prefix_forest(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_search.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)

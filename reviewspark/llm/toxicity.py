@@ -138,28 +138,37 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, doc_id: str
     return names, fit_chain(x, y, np.array([r["fold"] for r in data]))
 
 
+class Scorer:
+    """Probabilities of whole texts; the features of a chunk of text are looked up once and remembered."""
+
+    def __init__(self, model):
+        names, self.chain = model or ([], None)
+        self.place, self.known = {f: i for i, f in enumerate(names)}, {}
+
+    def probabilities(self, texts: list) -> np.ndarray:
+        x = np.zeros((len(texts), len(self.place)), np.float32)
+        for i, t in enumerate(texts):
+            for chunk in set((t or "").split()):
+                at = self.known.get(chunk)
+                if at is None:
+                    at = tuple(self.place[f] for f in chunk_features(chunk) if f in self.place)
+                    if len(self.known) >= REMEMBERED:
+                        self.known.clear()
+                    self.known[chunk] = at
+                if at:
+                    x[i, list(at)] = 1
+        return apply_chain(x, self.chain) if self.chain else np.zeros((len(texts), len(CATEGORIES)))
+
+
 def score(docs: DataFrame, model, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, one probability per category, toxic) for every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, chain = shared.value or ([], None)
-        place = {f: i for i, f in enumerate(names)}
-        known: dict[str, tuple] = {}
+        scorer = Scorer(shared.value)
         for b in batches:
-            x = np.zeros((b.num_rows, len(names)), np.float32)
-            for i, t in enumerate(b.column("text")):
-                for chunk in set((t.as_py() or "").split()):
-                    at = known.get(chunk)
-                    if at is None:
-                        at = tuple(place[f] for f in chunk_features(chunk) if f in place)
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                        known[chunk] = at
-                    if at:
-                        x[i, list(at)] = 1
-            p = apply_chain(x, chain) if chain else np.zeros((b.num_rows, len(CATEGORIES)))
+            p = scorer.probabilities(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), *[pa.array(p[:, c], pa.float64()) for c in range(len(CATEGORIES))], pa.array(p[:, -1] >= threshold)],
                 ["doc_id", *[f"p_{c}" for c in CATEGORIES], "toxic"])
@@ -168,5 +177,18 @@ def score(docs: DataFrame, model, doc_id: str = "doc_id", text: str = "text", th
     return rows.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"p_{c} double" for c in CATEGORIES) + ", toxic boolean")
 
 
+def clean_documents(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of ``docs`` that are not toxic, with all their columns; a row is judged where it stands."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for b in batches:
+            p = scorer.probabilities(b.column(b.schema.names.index(text)).cast(pa.string()).to_pylist())
+            yield b.filter(pa.array(p[:, -1] < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     return score(docs, fit(docs, labels, rows))
