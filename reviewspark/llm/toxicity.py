@@ -33,7 +33,7 @@ SEEDS = {
     "contempt": ("worthless", "pathetic", "trash", "scum", "disgusting"),
 }
 CATEGORIES = (*SEEDS, "toxic")
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 10_000
 FEATURES = 256
 LEAST_ROWS = 5
 FOLDS = 3
@@ -46,9 +46,9 @@ def chunk_features(chunk: str) -> set[str]:
     out = set()
     for w in WORDS.findall(chunk.lower()):
         out.add("w" + w)
-        if len(w) > 4:
+        if len(w) >= 4:
             out.add("4" + w[:4])
-        if len(w) > 5:
+        if len(w) >= 5:
             out.add("5" + w[:5])
     return out
 
@@ -60,13 +60,13 @@ def text_features(text: str) -> set[str]:
     return out
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int = 400) -> np.ndarray:
+def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int = 200) -> np.ndarray:
     """Weights and bias of a logistic regression, by full-batch gradient steps with adaptive rates."""
     x1 = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float32)
     w, m, v = (np.zeros(x1.shape[1]) for _ in range(3))
     for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        g = x1.T @ (p - y) / len(y) + ridge * np.r_[w[:-1], 0.0]
+        p = 1 / (1 + np.exp(-np.clip(x1 @ w.astype(np.float32), -30, 30)))
+        g = (p - y).astype(np.float32) @ x1 / len(y) + ridge * np.r_[w[:-1], 0.0]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
