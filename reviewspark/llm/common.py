@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reviewspark.scale import small
 from reviewspark.session import scratch_path
 
 #: Words as the contracts define them: runs without ASCII white space.
@@ -21,27 +22,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_or_empty(docs: DataFrame, text: str = "text") -> Column:
-    return F.coalesce(docs[text].cast("string"), F.lit(""))
+#: Keys up to this number are broadcast to a scan; more are joined by a shuffle.
+SMALL_KEYS = 1_000_000
 
 
-def cores(df: DataFrame) -> int:
-    return df.sparkSession.sparkContext.defaultParallelism
+def drop_rows(docs: DataFrame, drop: DataFrame, repeated: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``docs`` without those whose ``keys`` are in ``drop``; of the ``repeated`` keys one row each.
 
-
-def keep_rows(docs: DataFrame, keep: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``docs`` whose ``keys`` occur in ``keep``, one row each.
-
-    ``keep`` holds the keys and ``_rows``, the number of input rows that share them. Only keys with
-    repeated rows pass through an aggregate; all others keep their row as it is.
+    Texts stay where they are as long as the keys are few; only repeated rows meet in an aggregate.
     """
-    def matching(side):
+    def match(side, how):
         cond = None
         for k in keys:
             term = F.col(f"d.{k}").eqNullSafe(F.col(f"k.{k}"))
             cond = term if cond is None else cond & term
-        return docs.alias("d").join(side.alias("k"), cond, "left_semi")
+        return docs.alias("d").join(small(side, SMALL_KEYS).alias("k"), cond, how)
 
-    single = matching(keep.where("_rows = 1"))
-    repeated = matching(keep.where("_rows > 1")).dropDuplicates(keys)
-    return single.unionByName(repeated)
+    repeated = stored(repeated.select(*keys), "repeated-keys")
+    if repeated.isEmpty():
+        return match(drop.select(*keys), "left_anti")
+    once = match(drop.select(*keys).union(repeated), "left_anti")
+    return once.unionByName(match(repeated, "left_semi").dropDuplicates(keys))

@@ -30,10 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewspark.llm.common import stored
+from reviewspark.llm.common import SMALL_KEYS, stored
 from reviewspark.operators.dedup import connected_components
 from reviewspark.scale import lookup_by_key, small
 
@@ -45,8 +45,6 @@ FREQUENT_TOKENS = 1_000_000
 #: Signatures of more documents than this become stars.
 STAR_DOCS = 16
 FREQUENT_DF = STAR_DOCS + 1
-#: Keys up to this number are broadcast to a scan; more are joined by a shuffle.
-SMALL_KEYS = 1_000_000
 BLOCK_DOCS = 512
 CLASS_TOKENS = 8
 REMEMBERED = 400_000
@@ -217,10 +215,10 @@ def indexed(rows: DataFrame, frequent: np.ndarray, bits: int) -> DataFrame:
                     sigs, rare, last = signatures(tokens, hot)
                 for column, v in zip(out, (len(tokens), hashlib.blake2b(tokens.tobytes(), digest_size=16).digest(), sigs.astype(np.int64), rare, last)):
                     column.append(v)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, t) for c, t in zip(out, (
-                pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.int64()))]], ["doc_id", "n", "digest", "sigs", "rare", "last"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), *[pa.array(c, t) for c, t in zip(out, (
+                pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.int64()))]], ["doc_id", "text_hash", "n", "digest", "sigs", "rare", "last"])
 
-    return rows.mapInArrow(run, "doc_id long, n long, digest binary, sigs array<long>, rare int, last long")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n long, digest binary, sigs array<long>, rare int, last long")
 
 
 def verify(members: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -302,8 +300,8 @@ def candidate_edges(sigs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = FREQUENT_DF) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
-    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
+    """One row per document: doc_id, n_shingles, component_id, text_hash and a number of its group (null without words)."""
+    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"), text_hash(docs[text]).alias("text_hash"))
     frequent, bits = frequent_tokens(rows, least)
     table = stored(indexed(rows, frequent, bits).withColumn("uid", F.monotonically_increasing_id()), "jaccard-sets")
     sets = table.where("n > 0").groupBy("digest").agg(
@@ -319,9 +317,24 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     linked = connected_components(links).select(F.col("id").alias("node"), F.col("root"))
     named = sets.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_set = named.join(groups, "root").select("digest", "component_id", "copies")
-    out = lookup_by_key(table.select("doc_id", "n", "digest"), of_set, "digest", "copies", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    of_set = named.join(groups, "root").select("digest", "component_id", "copies", F.col("root").alias("group"))
+    out = lookup_by_key(table.select("doc_id", "text_hash", "n", "digest"), of_set, "digest", "copies", "left")
+    return out.select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        "text_hash", "group")
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def group_decisions(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(dropped, repeated) keys (doc_id, text_hash): one row of each group stays, of the smallest doc_id and hash."""
+    rows = found.where(F.col("group").isNotNull()).groupBy("group", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    stays = rows.groupBy("group").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    judged = lookup_by_key(rows, stays, "group", "members", "inner").withColumn("stay", order == F.col("first"))
+    return judged.where(~F.col("stay")), rows.where("rows > 1").join(judged.where(~F.col("stay")), ["group", "doc_id", "text_hash"], "left_anti")
 
 
 def blocks(docs: DataFrame, doc_id: str, text: str, own: DataFrame, families: DataFrame) -> DataFrame:

@@ -151,7 +151,7 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS co
 
 @query("op6_combination_prefixes", SQL_NEAR)
 def combination_prefixes(spark: SparkSession, sf: str) -> DataFrame:
-    return ngram_join.near_duplicate_groups(table(spark, sf, "documents"))
+    return ngram_join.near_duplicate_groups(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 @query("op2_random_indexing")
