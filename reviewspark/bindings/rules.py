@@ -330,5 +330,5 @@ def word_profiles(spark, sf):
 
 @query("txt_standardize")
 def standardize(spark, sf):
-    s = nz.standardize(annotated(spark, sf).where("language in ('en', 'fr')"), "id")
+    s = nz.standardize(annotated(spark, sf), "id")
     return s.groupBy("language", "is_code_switched").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("annotation_ids")).alias("annotations"))

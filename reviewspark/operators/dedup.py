@@ -139,7 +139,7 @@ def star_edges(keys: DataFrame, min_hot_rows: int = 1_000_000) -> DataFrame:
     return lookup_by_key(named, centre, "k", "n", "inner", min_rows=min_hot_rows).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50, min_hot_rows: int = 1_000_000) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 200, min_hot_rows: int = 1_000_000) -> DataFrame:
     """(id, root) for every node of the edge list; the root is the smallest id of its component.
 
     Alternating large-star and small-star steps: every round ties nodes to the
@@ -164,6 +164,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 50, min_hot_rows: i
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components still change after {max_rounds} rounds")
     return e.select(F.col("a").alias("id"), F.col("b").alias("root")).union(e.select(F.col("b").alias("id"), F.col("b").alias("root"))).distinct()
 
 

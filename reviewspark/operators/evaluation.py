@@ -403,7 +403,7 @@ def promotion(candidate: DataFrame, baseline: DataFrame, required: Sequence[str]
     wanted = spark.createDataFrame([(m,) for m in required], "metric string")
     c = candidate.where(F.col("seed").isin(*seeds)).select("seed", "metric", F.col("value").alias("c"))
     b = baseline.where(F.col("seed").isin(*seeds)).select("seed", "metric", F.col("value").alias("b"))
-    paired = c.join(b, ["seed", "metric"]).where(F.col("c").isNotNull() & F.col("b").isNotNull() & ~F.isnan("c") & ~F.isnan("b"))
+    paired = c.join(b, ["seed", "metric"]).where(F.col("c").isNotNull() & F.col("b").isNotNull() & ~F.isnan("c") & ~F.isnan("b") & (F.abs("c") < float("inf")) & (F.abs("b") < float("inf")))
     stats = paired.groupBy("metric").agg(
         F.count(F.lit(1)).alias("n"), F.avg("c").alias("mean"), F.stddev_samp("c").alias("std"), F.avg(F.col("c") - F.col("b")).alias("paired_mean_delta"),
         F.min(F.col("c") - F.col("b")).alias("worst_seed_delta"))

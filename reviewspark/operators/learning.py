@@ -55,15 +55,16 @@ def select_category_model(candidates: Sequence, validation: DataFrame, label: st
     return candidates[best], scores[best]
 
 
-def fit_relation(train: DataFrame, tune: DataFrame, features: str = "features", label: str = "label", weight: str = "sample_weight", min_per_class: int = 20, gate_f1: float = 0.75, gate_recall: float = 0.70):
+def fit_relation(train: DataFrame, tune: DataFrame, features: str = "features", label: str = "label", weight: str = "sample_weight", min_per_class: int = 20, min_tune_per_class: int = 5, gate_f1: float = 0.75, gate_recall: float = 0.70):
     """(model or None, threshold, status) for pair relations.
 
     Too few rows of a class, a collapsed model or no threshold behind the gate
     end in no model: a relation head is only used once it has earned it.
     """
-    floor = train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("classes"), F.min("n").alias("least")).first()
-    if floor["classes"] < 2 or floor["least"] < min_per_class:
-        return None, 0.5, "not_trained_insufficient_safe_supervision"
+    for rows, least in ((train, min_per_class), (tune, min_tune_per_class)):
+        floor = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("classes"), F.min("n").alias("least")).first()
+        if floor["classes"] < 2 or floor["least"] < least:
+            return None, 0.5, "not_trained_insufficient_safe_supervision"
     weights = balanced_class_weights(train, label, weight)
     weighted = train.join(F.broadcast(weights), train[label] == weights["label"]).drop(weights["label"]).withColumn("_w", F.col(weight) * F.col("class_weight"))
     size = len(train.select(features).first()[0])

@@ -14,6 +14,7 @@ from pyspark.sql.types import StringType
 from reviewspark import lexicons as lx
 
 SAMPLE_BYTES = 65_536
+SAMPLE_LINES = 200
 MAX_FILE_BYTES = 100 * 1024 * 1024
 ENCODINGS = ["utf-8-sig", "utf-8", "cp1252", "latin-1"]
 SPARK_CHARSETS = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "ISO-8859-1", "latin-1": "ISO-8859-1"}
@@ -41,15 +42,19 @@ def _detect_encoding(samples: pd.Series) -> pd.Series:
     return samples.map(_detect)
 
 
-def sniff(spark: SparkSession, path, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """path, size, encoding, delimiter, source_format: one row per file.
+def sniff(spark: SparkSession, path) -> DataFrame:
+    """path, size, encoding, delimiter, source_format, header: one row per file that has lines, of any size.
 
-    The length filter is pushed into the listing, so an oversized file is
-    reported by ``file_issues`` without being read; of the others only the first
-    64 KiB reach Python.
+    The text reader hands out raw bytes, so the first lines of a file, cut to
+    64 KiB, are its sample; no file's content is loaded as a whole.
     """
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= max_bytes)
-    sample = files.select("path", F.col("length").alias("size"), F.substring("content", 1, SAMPLE_BYTES).alias("sample"))
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"),
+        F.substring(F.col("value").cast("binary"), 1, SAMPLE_BYTES).alias("line"), F.monotonically_increasing_id().alias("i")).where("block = 0")
+    first = lines.withColumn("r", F.row_number().over(W.partitionBy("path").orderBy("i"))).where(F.col("r") <= SAMPLE_LINES)
+    heads = first.groupBy("path", "size").agg(F.array_sort(F.collect_list(F.struct("r", "line"))).alias("lines"))
+    joined = F.array_join(F.transform("lines", lambda x: x["line"].cast("string")), "\n")
+    sample = heads.select("path", "size", F.substring(joined.cast("binary"), 1, SAMPLE_BYTES).alias("sample"))
     tagged = sample.withColumn("encoding", _detect_encoding("sample"))
     head = F.replace(F.split(F.col("sample").cast("string"), r"\r?\n", 2)[0], F.lit("\ufeff"), F.lit(""))
     first = F.trim(head)
@@ -60,6 +65,7 @@ def sniff(spark: SparkSession, path, max_bytes: int = MAX_FILE_BYTES) -> DataFra
         "path", "size", "encoding",
         F.when(wrapped, ",").otherwise(best["d"]).alias("delimiter"),
         F.when(wrapped, "wrapped_voc_export").otherwise("standard").alias("source_format"),
+        F.lower(first).alias("header"),
     )
 
 
@@ -170,10 +176,11 @@ def read_wrapped_export(spark: SparkSession, path, aliases=None) -> DataFrame:
 
 
 def read_review_files(spark: SparkSession, path, aliases=None) -> DataFrame:
-    """Sniff every file, then read each (encoding, delimiter, format) group with one scan."""
-    groups = sniff(spark, path).groupBy("encoding", "delimiter", "source_format").agg(F.collect_list("path").alias("paths"))
+    """Sniff every file, then read the files of one encoding, delimiter, format and header with one scan."""
+    keys = ["encoding", "delimiter", "source_format", "header"]
+    groups = sniff(spark, path).groupBy(*keys).agg(F.collect_list("path").alias("paths"))
     out = None
-    for g in groups.orderBy("encoding", "delimiter", "source_format").collect():
+    for g in groups.orderBy(*keys).collect():
         if g["source_format"] == "wrapped_voc_export":
             part = read_wrapped_export(spark, g["paths"], aliases).drop("malformed")
         else:
@@ -194,7 +201,7 @@ def file_issues(spark: SparkSession, path: str, max_rows: int = 100_000, max_byt
     ]
     lines = number_rows(spark.read.text(path))
     head = lines.where("row_number = 1").select("_path", "value")
-    sep = sniff(spark, path, max_bytes).select(F.col("path").alias("_path"), "delimiter", "source_format")
+    sep = sniff(spark, path).select(F.col("path").alias("_path"), "delimiter", "source_format")
     fields = head.join(sep, "_path").select(
         "_path",
         F.when(F.col("source_format") == "standard", F.transform(F.split("value", F.concat(F.lit("\\Q"), F.col("delimiter"), F.lit("\\E"))), lambda x: _unquote(F.trim(x))))
