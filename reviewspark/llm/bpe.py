@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEXICON_WORDS = 65_536
-#: Chunks of text that a task remembers before it starts afresh: bounds its memory, not its results.
-REMEMBERED = 300_000
+#: Chunks (and words) of text that a task remembers per generation: bounds its memory, not its results.
+REMEMBERED = 100_000
 LONG_WORD = 48
 
 
@@ -190,7 +190,8 @@ class Encoder:
     """
 
     def __init__(self, merges: Merges, lexicon: Lexicon | None):
-        self.merges, self.lexicon, self.chunks, self.words = merges, lexicon, {}, {}
+        self.merges, self.lexicon = merges, lexicon
+        self.forget()
         self.pieces = regex.compile(merges.pattern)
         self.special = re.compile("|".join(re.escape(x) for x in sorted(merges.special, key=len, reverse=True))) if merges.special else None
         self.marks = tuple(merges.special)
@@ -198,42 +199,54 @@ class Encoder:
         self.odd = re.compile("[\x1c-\x1f]")
         self.white = re.compile("[\t-\r \x85\xa0  -     　]+")
 
+    def forget(self) -> None:
+        """Drop what is remembered; two generations each, so that what is in use outlives a full one."""
+        self.chunks, self.old_chunks, self.words, self.old_words = {}, {}, {}, {}
+
     def word(self, piece: str) -> list[int]:
+        found = self.old_words.get(piece)
+        if found is None:
+            found = self.encoded(piece)
+        if len(self.words) >= REMEMBERED:
+            self.words, self.old_words = {}, self.words
+        self.words[piece] = found
+        return found
+
+    def encoded(self, piece: str) -> list[int]:
         raw = piece.encode("utf-8", "surrogatepass")
         found = self.lexicon.find(raw) if self.lexicon else None
         if found is None:
             found = self.merges.merge(raw)
-        if len(self.words) >= REMEMBERED:
-            self.words.clear()
-        self.words[piece] = found
         return found
 
     def chunk(self, chunk: str) -> tuple[str, str, int]:
-        plain = unicodedata.normalize("NFC", chunk)
-        plain = plain.lower() if plain.isascii() else "".join(c.lower() for c in plain)
-        known, tokens = self.words.get, self.merges.tokens
-        ids = [i for p in self.pieces.findall(plain) for i in known(p) or self.word(p)]
-        out = (" ".join(map(str, ids)), " ".join([tokens[i] for i in ids]), len(ids))
+        out = self.old_chunks.get(chunk) or self.encoded_chunk(chunk)
         if len(self.chunks) >= REMEMBERED:
-            self.chunks.clear()
+            self.chunks, self.old_chunks = {}, self.chunks
         self.chunks[chunk] = out
         return out
 
+    def encoded_chunk(self, chunk: str) -> tuple[str, str, int]:
+        plain = unicodedata.normalize("NFC", chunk)
+        plain = plain.lower() if plain.isascii() else "".join(c.lower() for c in plain)
+        tokens = self.merges.tokens
+        ids = [i for p in self.pieces.findall(plain) for i in self.words.get(p) or self.word(p)]
+        return " ".join(map(str, ids)), " ".join([tokens[i] for i in ids]), len(ids)
+
     def split(self, text: str) -> list[str]:
         return [c for c in self.white.split(text) if c] if self.odd.search(text) else text.split()
 
     def text(self, text: str) -> tuple[str, str, int]:
-        known = self.chunks.get
         if self.special and any(m in text for m in self.marks):
             found, at = [], 0
             for m in self.special.finditer(text):
-                found += [known(c) or self.chunk(c) for c in self.split(text[at:m.start()])]
+                found += [self.chunks.get(c) or self.chunk(c) for c in self.split(text[at:m.start()])]
                 i = self.merges.special[m.group(0)]
                 found.append((str(i), m.group(0), 1))
                 at = m.end()
-            found += [known(c) or self.chunk(c) for c in self.split(text[at:])]
+            found += [self.chunks.get(c) or self.chunk(c) for c in self.split(text[at:])]
         else:
-            found = [known(c) or self.chunk(c) for c in self.split(text)]
+            found = [self.chunks.get(c) or self.chunk(c) for c in self.split(text)]
         return " ".join([x[0] for x in found]), " ".join([x[1] for x in found]), sum([x[2] for x in found])
 
 
@@ -252,7 +265,7 @@ _TASK: dict = {}
 
 
 def task_encoder(key: str, merges, block) -> Encoder:
-    """One encoder per Python worker; it outlives a task."""
+    """One encoder per Python worker; its vocabulary and automaton outlive a task, what it remembers does not."""
     if _TASK.get("key") != key:
         _TASK.update(key=key, encoder=Encoder(merges.value, Lexicon(block.value)))
     return _TASK["encoder"]
@@ -286,6 +299,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
                 columns += [pa.array(out["ids"], pa.list_(pa.int32())), pa.array(out["decoded"], pa.string())]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names)
+        encoder.forget()
 
     extra = ", ids array<int>, decoded string" if with_ids else ""
     return rows.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{extra}")

@@ -46,8 +46,12 @@ FREQUENT_TOKENS = 1_000_000
 STAR_DOCS = 16
 FREQUENT_DF = STAR_DOCS + 1
 BLOCK_DOCS = 512
+#: Tokens of a block, about: what a task holds of a family of long texts.
+BLOCK_TOKENS = 1_000_000
+#: Tokens that a task counts before it sends them on.
+PACK_TOKENS = 2_000_000
 CLASS_TOKENS = 8
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
 ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
@@ -172,7 +176,7 @@ def frequent_tokens(rows: DataFrame, least: int = FREQUENT_DF, limit: int = FREQ
             for t in b.column("text"):
                 held.append(shingler.tokens(t.as_py()))
                 n += len(held[-1])
-                if n > 4_000_000:
+                if n > PACK_TOKENS:
                     yield flush()
                     held, n = [], 0
         if n:
@@ -261,12 +265,12 @@ def verify(members: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
             if len(nodes) > 1:
                 links.extend(forest(nodes, sets, np.array(other)))
         for b in batches:
-            for f, p, node, t, o in zip(*[b.column(c).to_pylist() for c in ("family", "part", "node", "tokens", "other")]):
+            for f, p, node, t, o in zip(*[b.column(c).to_pylist() for c in ("family", "part", "node")], b.column("tokens"), b.column("other").to_pylist()):
                 if (f, p) != key:
                     done()
                     key, nodes, sets, other = (f, p), [], [], []
                 nodes.append(node)
-                sets.append(np.frombuffer(t, np.uint64))
+                sets.append(np.frombuffer(t.as_py(), np.uint64))
                 other.append(o)
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
             links = []
@@ -339,9 +343,10 @@ def group_decisions(found: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def blocks(docs: DataFrame, doc_id: str, text: str, own: DataFrame, families: DataFrame) -> DataFrame:
     """(family, part, node, tokens, other): every two blocks of a family meet in one part."""
-    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
-    cut = F.ceil(F.col("members") / BLOCK_DOCS).cast("int")
-    placed = lookup_by_key(families, sizes, "family", "members", "inner").withColumn("cut", cut).withColumn(
+    weighed = families.join(own.select(F.col("uid").alias("node"), "n"), "node")
+    sizes = weighed.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens"))
+    cut = F.greatest(F.ceil(F.col("members") / BLOCK_DOCS), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int")
+    placed = lookup_by_key(families, sizes, "family", "members", "inner").withColumn("cut", cut).drop("tokens").withColumn(
         "block", F.pmod(F.xxhash64("node"), F.col("cut")).cast("int"))
     wanted = stored(placed.join(own.select(F.col("uid").alias("node"), "doc_id", "digest"), "node"), "jaccard-members")
     # a null id is looked up as the smallest number; the digest tells rows of one id apart

@@ -38,7 +38,7 @@ FEATURES = 256
 LEAST_ROWS = 5
 FOLDS = 3
 THRESHOLD = 0.5
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 WORDS = re.compile(r"[^\W\d_]+")
 
 
