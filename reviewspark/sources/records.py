@@ -140,11 +140,13 @@ def read_conll(spark: SparkSession, path) -> DataFrame:
     """Token/tag files, blank-line delimited, to (path, sentence, pos, token, tag, start, end).
 
     The blank line is the record separator of the text reader, so a big file is
-    still split between tasks and a sentence is one row from the start.
+    still split between tasks. A line of white space ends a sentence too, also
+    with CRLF line ends; such a file is read by one task.
     """
     blocks = spark.read.option("lineSep", "\n\n").text(path)
-    numbered = number_rows(blocks.where(F.trim("value") != ""), out="sentence")
-    lines = F.filter(F.split("value", "\n"), lambda x: F.trim(x).rlike(r"\S\s+\S"))
+    sentences = blocks.select(F.explode(F.split("value", r"\n[^\S\n]*\n")).alias("value"), F.col("_metadata"))
+    numbered = number_rows(sentences.where(F.col("value").rlike(r"\S")), out="sentence")
+    lines = F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x).rlike(r"\S\s+\S"))
     pairs = F.transform(lines, lambda x: F.struct(
         F.regexp_extract(F.trim(x), r"^(.*\S)\s+(\S+)$", 1).alias("token"), F.regexp_extract(F.trim(x), r"^(.*\S)\s+(\S+)$", 2).alias("tag")))
     rows = numbered.select(F.col("_path").alias("path"), "sentence", pairs.alias("pairs"))

@@ -26,3 +26,13 @@ def test_unfinished_components_raise(spark):
     with pytest.raises(RuntimeError):
         connected_components(edges, max_rounds=1)
     assert connected_components(edges).select("root").distinct().count() == 1
+
+
+def test_token_file_line_ends(spark, tmp_path):
+    from reviewspark.sources.records import read_conll
+    (tmp_path / "a.txt").write_bytes(b"good\tO\r\nfood\tB-ASP\r\n\r\nbad\tO\r\n \t\r\nlast\tO\r\n\r\n")
+    (tmp_path / "b.txt").write_bytes(b"x\tO\n\ny\tO\nz\tI-ASP\n  \n\nend\tO")
+    got = read_conll(spark, str(tmp_path)).collect()
+    assert sorted((r["path"][-5:], r["sentence"], r["pos"], r["token"], r["tag"]) for r in got) == [
+        ("a.txt", 1, 0, "good", "O"), ("a.txt", 1, 1, "food", "B-ASP"), ("a.txt", 2, 0, "bad", "O"), ("a.txt", 3, 0, "last", "O"),
+        ("b.txt", 1, 0, "x", "O"), ("b.txt", 2, 0, "y", "O"), ("b.txt", 2, 1, "z", "I-ASP"), ("b.txt", 3, 0, "end", "O")]
