@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 LEXICON_WORDS = 65_536
 #: Chunks (and words) of text that a task remembers per generation: bounds its memory, not its results.
-REMEMBERED = 100_000
+REMEMBERED = 150_000
 LONG_WORD = 48
 
 
