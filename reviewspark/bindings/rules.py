@@ -230,8 +230,9 @@ WITH p AS (SELECT n_name AS a1, r_name AS a2 FROM nation JOIN region ON n_region
 SELECT a1 || ' ok' || c || a2 || ' no.' AS sentence, t AS target, CASE t WHEN a1 THEN 'positive' ELSE 'negative' END AS sentiment FROM (SELECT *, unnest([a1, a2]) AS t FROM p, c)""")
 def controlled_augmentation(spark, sf):
     nr = table(spark, sf, "nation").join(F.broadcast(table(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    rows = [(r["n_name"], "ok", "positive", r["r_name"], "no", "negative", "x") for r in nr.select("n_name", "r_name").limit(1000).collect()]
-    return se.controlled_augmentation(spark, rows).where("hard_contrast").select("sentence", "target", "sentiment")
+    pairs = nr.select(F.col("n_name").alias("a1"), F.lit("ok").alias("o1"), F.lit("positive").alias("s1"), F.col("r_name").alias("a2"),
+                      F.lit("no").alias("o2"), F.lit("negative").alias("s2"), F.lit("x").alias("domain"))
+    return se.controlled_augmentation(spark, pairs).where("hard_contrast").select("sentence", "target", "sentiment")
 
 
 @query("enr_customer", """

@@ -267,12 +267,12 @@ def _gold(spark, sf):
         return ct._annotation(a, opinion_start=a["aspect_end"] + 1, opinion_end=a["aspect_end"] + 5, relation=a["aspect_start"] % 5 != 0)
 
     return annotated(spark, sf).withColumns({
-        "annotations": F.transform(F.filter("annotations", lambda a: a["aspect_start"] < 1500), pair), "human_approved": F.col("doc_id") % 2 == 1, "annotation_complete": F.lit(True),
+        "annotations": F.transform("annotations", pair), "human_approved": F.col("doc_id") % 2 == 1, "annotation_complete": F.lit(True),
         "is_synthetic": F.lit(False), "sample_weight": F.lit(1.0), "human_status": F.when(F.col("doc_id") % 2 == 1, "approved").otherwise("pending")})
 
 
 SQL_REL = SQL_ANNOTATED + """,
-p AS (SELECT DISTINCT id, s, e, (e + 1)::INTEGER AS os, (e + 5)::INTEGER AS oe FROM ann WHERE s < 1500 AND s % 5 <> 0),
+p AS (SELECT DISTINCT id, s, e, (e + 1)::INTEGER AS os, (e + 5)::INTEGER AS oe FROM ann WHERE s % 5 <> 0),
 x AS (SELECT a.id, a.s, a.e, o.os, o.oe, least(abs(a.s - o.oe), abs(o.os - a.e)) AS d FROM p a JOIN p o ON a.id = o.id WHERE NOT (a.e + 1 = o.os) AND a.id::BIGINT % 2 = 1),
 n AS (SELECT x.*, r.split, row_number() OVER (PARTITION BY x.id ORDER BY d, s, e, os, oe) AS rn, (SELECT count(*) FROM p WHERE p.id = x.id) AS np FROM x JOIN reviews r USING (id))"""
 

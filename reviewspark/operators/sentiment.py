@@ -233,8 +233,12 @@ def category_examples(df: DataFrame, keywords=None, text: str = "text") -> DataF
 
 
 def controlled_augmentation(spark, pairs=None, connectors=None, neutral=None, weight: float = 0.30) -> DataFrame:
-    """Contrast sentences (pair x connector x target) and factual neutral sentences."""
-    p = spark.createDataFrame(pairs or lx.CONTRAST_PAIRS, "a1 string, o1 string, s1 string, a2 string, o2 string, s2 string, domain string")
+    """Contrast sentences (pair x connector x target) and factual neutral sentences.
+
+    ``pairs`` are rows or a DataFrame of a1, o1, s1, a2, o2, s2, domain.
+    """
+    p = pairs if isinstance(pairs, DataFrame) else spark.createDataFrame(
+        pairs or lx.CONTRAST_PAIRS, "a1 string, o1 string, s1 string, a2 string, o2 string, s2 string, domain string")
     joins = F.explode(F.array(*[F.lit(c) for c in (connectors or lx.CONTRAST_CONNECTORS)])).alias("c")
     both = p.select("*", joins).withColumn("sentence", F.concat("a1", F.lit(" "), "o1", "c", "a2", F.lit(" "), "o2", F.lit(".")))
     rows = both.select("domain", "sentence", F.explode(F.array(F.struct(F.col("a1").alias("target"), F.col("s1").alias("sentiment")), F.struct(F.col("a2").alias("target"), F.col("s2").alias("sentiment")))).alias("t"))
