@@ -76,9 +76,10 @@ def flagship(spark, sf):
 _TAX = [("g.a", "generic", "Label A", ["thble", "in the"]), ("g.b", "generic", "Label B", ["dans", "que la"]), ("f.c", "en", "Label C", ["this", "that the of"]), ("f.d", "fr", "Label D", ["les"]), ("g.e", "generic", "Label E", ["der", "sich"])]
 
 
-def _sql_tax():
+def _sql_tax(rules):
     parts = []
-    for i, (t, d, n, keys) in enumerate(_TAX):
+    for i, (t, d, n, keys) in enumerate(rules):
+        keys = [k.lower() for k in keys]
         na, nc = " + ".join(f"contains(a, '{k}')::INT" for k in keys), " + ".join(f"contains(c, '{k}')::INT" for k in keys)
         sa = " + ".join(f"contains(a, '{k}')::INT * {4.0 + len(k.split()) * 0.35}" for k in keys)
         sc = " + ".join(f"contains(c, '{k}')::INT * {round(0.35 + len(k.split()) * 0.05, 4)}" for k in keys)
@@ -88,7 +89,7 @@ def _sql_tax():
 
 
 @query("tax_keyword_mapper", f"""
-WITH x AS (SELECT doc_id, lang, lower(substring(text, 1, 120)) AS a, lower(text) AS c FROM documents), s AS ({_sql_tax()}),
+WITH x AS (SELECT doc_id, lang, lower(substring(text, 1, 120)) AS a, lower(text) AS c FROM documents), s AS ({_sql_tax(_TAX)}),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY na > 0 DESC, sc DESC, dom <> 'generic' DESC, ln DESC, i) AS rn FROM s WHERE na + nc > 0)
 SELECT d.doc_id, coalesce(tid, 'generic.other') AS taxonomy_id, coalesce(label, 'other') AS label, CASE WHEN tid IS NULL THEN 0 ELSE round(least(0.93::DOUBLE, 0.56::DOUBLE + 0.1::DOUBLE * na + 0.03::DOUBLE * nc + CASE WHEN d.lang = dom THEN 0.04::DOUBLE ELSE 0 END), 4) END AS confidence
 FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id AND rn = 1""")
@@ -97,6 +98,16 @@ def keyword_mapper(spark, sf):
     return documents(spark, sf).select("doc_id", m.alias("m")).select("doc_id", "m.taxonomy_id", "m.label", "m.confidence")
 
 
+@query("tax_all_rules", f"""
+WITH x AS (SELECT doc_id, lang, lower(split_part(text, ' ', 1)) AS a, lower(text) AS c FROM documents), s AS ({_sql_tax(lx.ALL_TAXONOMY_RULES)}),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY na > 0 DESC, sc DESC, dom <> 'generic' DESC, ln DESC, i) AS rn FROM s WHERE na + nc > 0)
+SELECT d.doc_id, coalesce(tid, 'generic.other') AS taxonomy_id, coalesce(label, 'other') AS label, coalesce(dom, d.lang) AS domain FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id AND rn = 1""")
+def all_rules(spark, sf):
+    """The whole rule table: the first word as the aspect, the whole text as the context."""
+    m = ta.map_category(F.split_part(T(), F.lit(" "), F.lit(1)), T(), F.col("lang"), lx.ALL_TAXONOMY_RULES)
+    return documents(spark, sf).select("doc_id", m.alias("m")).select("doc_id", "m.taxonomy_id", "m.label", "m.domain")
+
+
 @query("tax_head_overrides", """
 SELECT o_orderkey, CASE WHEN p LIKE 'price %' THEN 'generic.price_value' WHEN contains(p, 'prayer room') THEN 'generic.prayer_room' WHEN contains(p, 'service speed') THEN 'generic.service_speed'
  WHEN contains(p, 'order') AND c = 'nunggu 20 menit' THEN 'generic.service_speed' ELSE 'generic.other' END AS taxonomy_id

@@ -303,8 +303,8 @@ RULE_TUPLES = [
 RULE_NEGATIONS = ["tidak ", "gak ", "kurang ", "bukan "]
 RULE_POSITIVE_WORDS = ["enak", "bagus", "ramah", "bersih", "suka"]
 
-# --- fixed values: taxonomy rules (the generic group and everyday food heads) ---------
-TAXONOMY_RULES = [
+# --- fixed values: taxonomy rules -----------------------------------------------------
+ALL_TAXONOMY_RULES = [
     ("generic.overall_experience", "generic", "Overall Experience", ["overall", "pengalaman", "experience", "kesan", "puas", "kecewa", "worth", "sepadan", "recommended", "direkomendasikan", "balik lagi", "datang lagi"]),
     ("generic.service_quality", "generic", "Service Quality", ["pelayanan", "layanan", "service", "petugas", "pegawai", "staf", "staff", "helpful", "ramah", "jutek", "responsif", "tidak responsif"]),
     ("generic.service_speed", "generic", "Service Speed", ["cepat", "lambat", "lama", "gercep", "satset", "waktu layanan", "service time", "proses cepat", "proses lama"]),
@@ -316,12 +316,95 @@ TAXONOMY_RULES = [
     ("generic.location_access", "generic", "Location & Access", ["lokasi", "akses", "jalan", "strategis", "mudah dicari", "susah dicari", "nyasar", "maps"]),
     ("generic.parking", "generic", "Parking", ["parkir", "area parkir", "parking", "valet", "motor", "mobil", "slot parkir"]),
     ("generic.facilities", "generic", "Facilities", ["fasilitas", "toilet", "wifi", "musala", "mushola", "ac", "lift", "eskalator", "ruang tunggu", "kursi", "charging", "stop kontak", "cctv"]),
+    ("generic.security", "generic", "Security", ["aman", "tidak aman", "security", "satpam", "petugas keamanan", "cctv", "penjaga"]),
+    ("generic.operating_hours", "generic", "Operating Hours", ["jam buka", "jam tutup", "jam operasional", "buka", "tutup", "24 jam", "opening hours"]),
+    ("generic.digital_service", "generic", "Digital Service", ["aplikasi", "website", "sistem", "online", "login", "otp", "error", "down", "loading", "notifikasi", "registrasi online", "pendaftaran online"]),
+    ("generic.communication_channel", "generic", "Communication Channel", ["whatsapp", "wa", "telepon", "call center", "hotline", "chat", "email", "dm", "dibalas", "tidak dibalas"]),
     ("fnb.food_quality", "food_beverage", "Food Quality", ["makanan", "menu", "nasi", "mie", "pasta", "roti", "croissant", "dessert", "kue", "snack", "cemilan", "cassava", "casava", "steak", "ayam", "burger", "pizza"]),
     ("fnb.beverage_quality", "food_beverage", "Beverage Quality", ["minuman", "kopi", "americano", "latte", "espresso", "cappuccino", "matcha", "teh", "jus", "juice", "milkshake", "mocktail"]),
     ("fnb.taste", "food_beverage", "Taste", ["rasa", "enak", "tidak enak", "asin", "keasinan", "manis", "kemanisan", "pahit", "hambar", "gurih", "pedas", "asam"]),
+    ("fnb.portion", "food_beverage", "Portion", ["porsi", "portion", "banyak", "sedikit", "dikit", "kecil", "besar"]),
+    ("fnb.presentation", "food_beverage", "Food Presentation", ["penyajian", "plating", "presentasi makanan", "tampilan makanan"]),
+    ("fnb.menu_variety", "food_beverage", "Menu Variety", ["variasi menu", "pilihan menu", "menu lengkap", "menu sedikit", "banyak pilihan"]),
+    ("fnb.order_accuracy", "food_beverage", "Order Accuracy", ["pesanan salah", "order salah", "salah pesanan", "pesanan sesuai", "order sesuai", "kurang item", "item kurang"]),
+    ("fnb.order_speed", "food_beverage", "Order Speed", ["pesanan lama", "makanan lama", "minuman lama", "keluar lama", "nunggu makanan", "nunggu minuman", "service time"]),
+    ("fnb.cashier", "food_beverage", "Cashier", ["kasir", "cashier"]),
+    ("fnb.barista", "food_beverage", "Barista", ["barista"]),
+    ("fnb.waiter", "food_beverage", "Waiter / Server", ["waiter", "waitress", "pramusaji", "pelayan"]),
     ("fnb.ambience", "food_beverage", "Ambience", ["suasana", "ambience", "vibes", "cozy", "nyaman", "estetis", "instagrammable", "outdoor", "indoor", "pohon", "rindang", "adem"]),
+    ("fnb.wfc_support", "food_beverage", "Work From Cafe Support", ["wfc", "work from cafe", "wifi", "stop kontak", "colokan", "meja kerja", "laptop"]),
+    ("healthcare.medical_service", "healthcare", "Medical Service", ["dokter", "perawat", "bidan", "tenaga kesehatan", "pelayanan medis", "pemeriksaan", "diagnosis", "diagnosa", "tindakan"]),
     ("healthcare.doctor", "healthcare", "Doctor", ["dokter", "dr ", "dr.", "drg", "dokter gigi"]),
+    ("healthcare.nurse", "healthcare", "Nurse", ["perawat", "suster", "nurse"]),
+    ("healthcare.registration", "healthcare", "Registration", ["pendaftaran", "registrasi", "admisi", "daftar online", "pendaftaran online"]),
+    ("healthcare.queue", "healthcare", "Healthcare Queue", ["antrean dokter", "nomor antrean", "nunggu dokter", "waktu tunggu dokter"]),
+    ("healthcare.pharmacy", "healthcare", "Pharmacy", ["farmasi", "apotek", "obat", "resep"]),
+    ("healthcare.lab", "healthcare", "Laboratory", ["laboratorium", "lab", "cek darah", "tes darah"]),
+    ("healthcare.radiology", "healthcare", "Radiology", ["rontgen", "x-ray", "xray", "usg", "radiologi"]),
+    ("healthcare.emergency", "healthcare", "Emergency / ER", ["igd", "ugd", "gawat darurat", "emergency"]),
+    ("healthcare.bpjs", "healthcare", "BPJS / Insurance Administration", ["bpjs", "jkn", "kis", "rujukan", "jaminan", "asuransi kesehatan"]),
+    ("healthcare.inpatient", "healthcare", "Inpatient Care", ["rawat inap", "ranap", "kamar inap"]),
+    ("healthcare.outpatient", "healthcare", "Outpatient Care", ["rawat jalan", "rajal", "kontrol", "poliklinik", "poli"]),
+    ("government.counter_service", "government", "Counter Service", ["loket", "petugas loket", "counter", "pelayanan loket"]),
+    ("government.document_process", "government", "Document Processing", ["dokumen", "berkas", "surat", "akta", "legalisasi", "legalisir", "fotokopi"]),
+    ("government.identity_document", "government", "Population Document", ["ktp", "e-ktp", "kartu tanda penduduk", "kartu keluarga", "kk", "akta kelahiran", "dukcapil"]),
+    ("government.licensing", "government", "Licensing", ["izin", "perizinan", "izin online", "mpp", "mal pelayanan publik"]),
+    ("government.immigration", "government", "Immigration", ["imigrasi", "paspor", "passport", "visa"]),
+    ("government.vehicle_document", "government", "Vehicle Document Service", ["samsat", "sim", "stnk", "pajak kendaraan"]),
+    ("government.bureaucracy", "government", "Bureaucracy", ["birokrasi", "prosedur", "alur proses", "persyaratan", "syarat"]),
+    ("banking.customer_service", "banking", "Customer Service", ["customer service", "cs bank", "layanan pelanggan"]),
+    ("banking.teller", "banking", "Teller", ["teller"]),
+    ("banking.security", "banking", "Bank Security", ["satpam", "security", "petugas keamanan"]),
+    ("banking.account_opening", "banking", "Account Opening", ["buka rekening", "pembukaan rekening", "rekening baru"]),
+    ("banking.atm", "banking", "ATM", ["atm", "mesin atm", "tarik tunai", "setor tunai", "atm error", "atm kosong"]),
+    ("banking.mobile_banking", "banking", "Mobile Banking", ["mobile banking", "mbanking", "m-banking", "livin", "brimo", "bca mobile", "wondr"]),
+    ("banking.internet_banking", "banking", "Internet Banking", ["internet banking", "ibanking", "i-banking"]),
+    ("banking.transaction", "banking", "Transaction", ["transfer", "transaksi", "saldo", "pending", "gagal transaksi", "qris"]),
+    ("banking.credit_loan", "banking", "Credit / Loan", ["kredit", "pinjaman", "loan", "kpr", "kartu kredit"]),
+    ("banking.fee", "banking", "Bank Fee", ["biaya admin", "biaya administrasi", "admin fee", "fee"]),
+    ("social.benefit_service", "social_service", "Social Benefit Service", ["bansos", "bantuan sosial", "blt", "bpnt", "pkh", "sembako", "penerima manfaat"]),
+    ("social.data_registration", "social_service", "Social Welfare Data", ["dtks", "data sosial", "data penerima", "verifikasi data"]),
+    ("social.case_worker", "social_service", "Social Worker / Companion", ["pendamping", "pendamping sosial", "petugas sosial"]),
+    ("social.disability_service", "social_service", "Disability Service", ["disabilitas", "difabel", "penyandang disabilitas"]),
+    ("social.elderly_service", "social_service", "Elderly Service", ["lansia", "panti lansia", "panti jompo"]),
+    ("hotel.room", "hotel", "Room", ["kamar", "room", "kasur", "bed", "handuk", "linen"]),
+    ("hotel.cleanliness", "hotel", "Room Cleanliness", ["kamar bersih", "kamar kotor", "housekeeping", "bau kamar"]),
+    ("hotel.reception", "hotel", "Reception", ["resepsionis", "receptionist", "reception"]),
+    ("hotel.checkin_checkout", "hotel", "Check-in / Check-out", ["check-in", "check-out", "checkin", "checkout"]),
+    ("hotel.breakfast", "hotel", "Breakfast", ["sarapan", "breakfast"]),
+    ("hotel.pool", "hotel", "Swimming Pool", ["kolam renang", "pool", "swimming pool"]),
+    ("retail.product_quality", "retail", "Product Quality", ["produk", "barang", "kualitas produk", "kualitas barang"]),
+    ("retail.stock", "retail", "Stock Availability", ["stok", "stock", "habis", "restock", "tersedia"]),
+    ("retail.cashier", "retail", "Cashier", ["kasir", "cashier"]),
+    ("retail.promotion", "retail", "Promotion / Discount", ["promo", "promosi", "diskon", "discount", "voucher"]),
+    ("retail.store_layout", "retail", "Store Layout", ["layout toko", "penataan", "rak", "lorong", "aisle"]),
+    ("education.teacher", "education", "Teacher / Lecturer", ["guru", "dosen", "pengajar"]),
+    ("education.administration", "education", "Academic Administration", ["tata usaha", "tu", "admin kampus", "administrasi akademik"]),
+    ("education.classroom", "education", "Classroom", ["kelas", "ruang kelas", "classroom"]),
+    ("education.library", "education", "Library", ["perpustakaan", "perpus", "library"]),
+    ("education.lab", "education", "Laboratory", ["laboratorium", "lab komputer", "lab"]),
+    ("education.campus_facility", "education", "Campus Facility", ["kantin", "wifi kampus", "toilet kampus", "parkir kampus"]),
+    ("transport.station", "transportation", "Station / Terminal", ["stasiun", "terminal", "halte", "station"]),
+    ("transport.ticketing", "transportation", "Ticketing", ["tiket", "ticket", "loket tiket", "mesin tiket"]),
+    ("transport.schedule", "transportation", "Schedule", ["jadwal", "schedule", "keberangkatan", "kedatangan", "delay", "terlambat"]),
+    ("transport.cleanliness", "transportation", "Transport Cleanliness", ["toilet stasiun", "stasiun bersih", "terminal kotor"]),
+    ("transport.driver", "transportation", "Driver", ["driver", "pengemudi", "sopir", "supir"]),
+    ("automotive.mechanic", "automotive", "Mechanic", ["mekanik", "mechanic"]),
+    ("automotive.service_quality", "automotive", "Workshop Service", ["servis mobil", "servis motor", "service mobil", "service motor"]),
+    ("automotive.sparepart", "automotive", "Spare Part", ["suku cadang", "sparepart", "onderdil"]),
+    ("automotive.carwash", "automotive", "Car Wash", ["cuci mobil", "car wash", "carwash"]),
+    ("tourism.scenery", "tourism", "Scenery", ["pemandangan", "view", "scenery", "sunset", "gunung", "danau", "pantai"]),
+    ("tourism.photo_spot", "tourism", "Photo Spot", ["spot foto", "instagrammable", "foto", "photo"]),
+    ("tourism.family_friendly", "tourism", "Family Friendly", ["ramah keluarga", "family friendly", "ramah anak", "kids friendly"]),
+    ("tourism.ticket_price", "tourism", "Ticket Price", ["harga tiket", "tiket masuk", "HTM", "biaya masuk"]),
 ]
+#: The rules used where none are given: the generic group and everyday food heads.
+DEFAULT_TAXONOMY_IDS = [
+    "generic.overall_experience", "generic.service_quality", "generic.service_speed", "generic.waiting_time", "generic.staff_attitude",
+    "generic.cleanliness", "generic.comfort", "generic.price_value", "generic.location_access", "generic.parking", "generic.facilities",
+    "fnb.food_quality", "fnb.beverage_quality", "fnb.taste", "fnb.ambience", "healthcare.doctor",
+]
+TAXONOMY_RULES = [rule for rule in ALL_TAXONOMY_RULES if rule[0] in DEFAULT_TAXONOMY_IDS]
 TAXONOMY_ALIASES = {
     "ambience": "fnb.ambience", "food quality": "fnb.food_quality", "beverage quality": "fnb.beverage_quality",
     "taste": "fnb.taste", "portion": "fnb.portion", "menu variety": "fnb.menu_variety",

@@ -106,6 +106,17 @@ def test_category_probes(spark):
         assert r["got"] == r["want"]
 
 
+def test_whole_taxonomy(spark):
+    ids = [r[0] for r in lx.ALL_TAXONOMY_RULES]
+    assert len(ids) == len(set(ids)) == 92
+    # equal scores go to the rule that comes first in the table
+    probes = [("kamarnya", "kamarnya luas", "hotel", "hotel.room"), ("guru", "guru sabar", None, "education.teacher"), ("HTM", "HTM mahal", None, "tourism.ticket_price"),
+              ("dokternya", "dokternya ramah", "healthcare", "healthcare.medical_service"), ("zzz", "zzz", None, "generic.other")]
+    df = spark.createDataFrame(probes, "a string, c string, d string, want string")
+    for r in df.select("want", ta.map_category(F.col("a"), F.col("c"), F.col("d"), lx.ALL_TAXONOMY_RULES)["taxonomy_id"].alias("got")).collect():
+        assert r["got"] == r["want"]
+
+
 def test_normalizer(spark):
     samples = ["Servicenya lamaaa 😡 tapi food-nya enakkk 👍", "Ｋｏｐｉ\t enakkk", "Dr Anindhita ramah; ID AB12CD34 aman", "not bad, gr8 service", "[ASP] kopi [/ASP] [OPN] enak [/OPN]"]
     df = spark.createDataFrame([(i, s, "id-en") for i, s in enumerate(samples)], "i int, text string, lang string")
