@@ -2,67 +2,47 @@
 
 from __future__ import annotations
 
-import codecs
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from reviewspark import lexicons as lx
 
-SAMPLE_BYTES = 65_536
-SAMPLE_LINES = 200
+HEADER_BYTES = 65_536
 MAX_FILE_BYTES = 100 * 1024 * 1024
-ENCODINGS = ["utf-8-sig", "utf-8", "cp1252", "latin-1"]
+ENCODINGS = ["utf-8", "cp1252", "latin-1"]
 SPARK_CHARSETS = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "ISO-8859-1", "latin-1": "ISO-8859-1"}
 # The reader has no Windows-1252 charset: read the bytes as Latin-1 and map the 32 code points that differ.
 _C1 = [chr(b) for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore")]
 _C1_AS_CP1252 = "".join(bytes([ord(c)]).decode("cp1252") for c in _C1)
-
-
-def _decodes(sample: bytes, encoding: str) -> bool:
-    try:
-        codecs.getincrementaldecoder(encoding)().decode(sample, final=False)
-        return True
-    except UnicodeDecodeError:
-        return False
-
-
-def _detect(sample: bytes) -> str:
-    if sample.startswith(codecs.BOM_UTF8):
-        return "utf-8-sig"
-    return next(e for e in ENCODINGS[1:] if _decodes(sample, e))
-
-
-@F.pandas_udf(StringType())
-def _detect_encoding(samples: pd.Series) -> pd.Series:
-    return samples.map(_detect)
+# The bytes that Windows-1252 leaves undefined.
+_NOT_CP1252 = r"[\x81\x8d\x8f\x90\x9d]"
 
 
 def sniff(spark: SparkSession, path) -> DataFrame:
     """path, size, encoding, delimiter, source_format, header: one row per file that has lines, of any size.
 
-    The text reader hands out raw bytes, so the first lines of a file, cut to
-    64 KiB, are its sample; no file's content is loaded as a whole.
+    The text reader hands out raw bytes, without a byte order mark. Every line of a file is tested, so its
+    encoding is the first of ``ENCODINGS`` that decodes all of it; the header is
+    its first line, cut to 64 KiB. No file's content is loaded as a whole.
     """
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"),
-        F.substring(F.col("value").cast("binary"), 1, SAMPLE_BYTES).alias("line"), F.monotonically_increasing_id().alias("i")).where("block = 0")
-    first = lines.withColumn("r", F.row_number().over(W.partitionBy("path").orderBy("i"))).where(F.col("r") <= SAMPLE_LINES)
-    heads = first.groupBy("path", "size").agg(F.array_sort(F.collect_list(F.struct("r", "line"))).alias("lines"))
-    joined = F.array_join(F.transform("lines", lambda x: x["line"].cast("string")), "\n")
-    sample = heads.select("path", "size", F.substring(joined.cast("binary"), 1, SAMPLE_BYTES).alias("sample"))
-    tagged = sample.withColumn("encoding", _detect_encoding("sample"))
-    head = F.replace(F.split(F.col("sample").cast("string"), r"\r?\n", 2)[0], F.lit("\ufeff"), F.lit(""))
-    first = F.trim(head)
+        "value", F.monotonically_increasing_id().alias("i"))
+    start = F.substring(F.col("value").cast("binary"), 1, HEADER_BYTES)
+    tagged = lines.groupBy("path", "size").agg(
+        F.min_by(F.when(F.col("block") == 0, start), F.when(F.col("block") == 0, F.col("i"))).alias("start"),
+        F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
+        F.bool_and(~F.decode(F.col("value").cast("binary"), "ISO-8859-1").rlike(_NOT_CP1252)).alias("cp1252"))
+    encoding = F.when(F.col("utf8"), "utf-8").when(F.col("cp1252"), "cp1252").otherwise("latin-1")
+    first = F.trim(F.replace(F.col("start").cast("string"), F.lit("\ufeff"), F.lit("")))
     counts = [(F.regexp_count(first, F.lit(p)), d) for p, d in ((",", ","), (";", ";"), ("\t", "\t"))]
     best = F.array_max(F.array(*[F.struct(c.alias("n"), F.lit(-i).alias("rank"), F.lit(d).alias("d")) for i, (c, d) in enumerate(counts)]))
     wrapped = first.startswith('"') & first.endswith('";;;')
     return tagged.select(
-        "path", "size", "encoding",
+        "path", "size", encoding.alias("encoding"),
         F.when(wrapped, ",").otherwise(best["d"]).alias("delimiter"),
         F.when(wrapped, "wrapped_voc_export").otherwise("standard").alias("source_format"),
         F.lower(first).alias("header"),

@@ -36,3 +36,21 @@ def test_token_file_line_ends(spark, tmp_path):
     assert sorted((r["path"][-5:], r["sentence"], r["pos"], r["token"], r["tag"]) for r in got) == [
         ("a.txt", 1, 0, "good", "O"), ("a.txt", 1, 1, "food", "B-ASP"), ("a.txt", 2, 0, "bad", "O"), ("a.txt", 3, 0, "last", "O"),
         ("b.txt", 1, 0, "x", "O"), ("b.txt", 2, 0, "y", "O"), ("b.txt", 2, 1, "z", "I-ASP"), ("b.txt", 3, 0, "end", "O")]
+
+
+def test_late_encodings(spark, tmp_path):
+    """The first byte that tells the encoding may stand on any line: behind 200 short lines, behind 64 KiB, at the end."""
+    from reviewspark.sources.files import sniff
+    head, short = b"review,city\n", b"enak sekali,Solo\n" * 298
+    (tmp_path / "line300.csv").write_bytes(head + short + b"caf\xe9 \x80,Paris\n" + short)
+    (tmp_path / "after64k.csv").write_bytes(head + short * 20 + b"caf\xe9 \x80,Paris\n")
+    (tmp_path / "latin.csv").write_bytes(head + short + b"caf\xe9,Paris\n" + short + b"\x81,Bali\n")
+    (tmp_path / "utf.csv").write_bytes(head + short * 20 + "café €,Paris\n".encode())
+    (tmp_path / "bom.csv").write_bytes(b"\xef\xbb\xbf" + head + short + "café €,Paris\n".encode())
+    (tmp_path / "overlong.csv").write_bytes(head + short + b"\xc0\xaf,Paris\n")
+    path = str(tmp_path / "*.csv")
+    assert {r["path"].rsplit("/", 1)[1]: r["encoding"] for r in sniff(spark, path).collect()} == {
+        "line300.csv": "cp1252", "after64k.csv": "cp1252", "latin.csv": "latin-1", "utf.csv": "utf-8", "bom.csv": "utf-8", "overlong.csv": "cp1252"}
+    rows = read_review_files(spark, path)
+    assert rows.count() == 1 + 298 * 2 + 298 * 20 + 1 + 298 * 2 + 2 + 298 * 20 + 1 + 298 + 1 + 298 + 1
+    assert rows.where("review = 'café €'").count() == 4 and rows.where("contains(review, '\ufffd')").count() == 0
