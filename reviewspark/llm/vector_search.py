@@ -5,7 +5,8 @@ bounded sample) and keeps the vectors in the order of their strings. A directory
 vectors below every prefix of up to ``DEPTH`` bits. A query descends all trees to its longest prefix
 and ascends in all of them together, a bit at a time, until the ranges below its prefixes hold enough
 candidates; each tree's range is a contiguous piece of its sorted array. The pieces are cut into
-segments, and a segment compares its queries with their ranges and returns the best few.
+segments, and a segment compares its queries with their ranges and returns the best few. The queries of a
+segment are counted first and split over blocks, so a task holds a bounded number of vectors and of queries.
 
 How many candidates are enough is measured, not guessed: ``SAMPLE_QUERIES`` queries are answered by brute
 force against all vectors, and the deepest level of ascent at which the forest finds at least
@@ -21,6 +22,7 @@ are returned; an empty table gives an empty table; other columns are ignored, wh
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reviewspark.llm.common import stored
+from reviewspark.llm.common import SMALL_KEYS, stored
+from reviewspark.scale import small
 
 TREES = 20
 BITS = 32
@@ -39,6 +42,12 @@ SAMPLE_ROWS = 2_000
 SAMPLE_QUERIES = 200
 WANTED_RECALL = 0.96
 SEGMENT_ROWS = 8_192
+#: Queries that meet a segment in one task, about; those of a segment are split over blocks, each with its own copy of the segment.
+BLOCK_QUERIES = 8_192
+#: Queries compared with their range in one matrix.
+SLICE_QUERIES = 256
+#: Rows of questions that a task holds before it sends them on.
+PACK_ROWS = 10_000
 
 
 class Planes:
@@ -186,27 +195,43 @@ def nearest(table: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
             yield pa.RecordBatch.from_arrays([b.column("tree"), pa.array(d.segment[tree, c]), pa.array(salt), *[b.column(x) for x in ("code", "ids", "v")]],
                                              ["tree", "segment", "salt", "code", "ids", "v"])
 
+    def routes(d: Directory, b: pa.RecordBatch) -> Iterator[tuple]:
+        """(place in the batch, tree, low, high, segments and salts met) of every query and tree."""
+        v = vectors_of(b.column("v"))
+        if not len(v):
+            return
+        codes = planes.value.codes(unit(v))
+        levels = d.levels(codes, enough)
+        for i in range(len(v)):
+            span, shift = DEPTH - levels[i], BITS - levels[i]
+            for t in range(TREES):
+                p = codes[i, t] >> shift
+                held = np.flatnonzero(d.cells[t, p << span:(p + 1) << span]) + (p << span)
+                met = {(int(s), j) for s, n in zip(d.segment[t, held], d.salts[t, held]) for j in range(int(n))}
+                yield i, t, int(p << shift), int((p + 1) << shift), met
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter = Counter()
+        for b in batches:
+            for _, t, _, _, met in routes(shared.value, b):
+                n.update((t, s, j) for s, j in met)
+        columns = [*zip(*((*k, c) for k, c in n.items()))] or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["tree", "segment", "salt", "n"])
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = shared.value
+        names = ["tree", "segment", "salt", "query", "low", "high", "qv"]
         for b in batches:
-            v = vectors_of(b.column("v"))
-            if not len(v):
-                continue
-            codes = planes.value.codes(unit(v))
-            levels = d.levels(codes, enough)
-            out: list[list] = [[] for _ in range(6)]
-            out_v: list[bytes] = []
-            for i in range(len(v)):
-                packed, span, shift = v[i].tobytes(), DEPTH - levels[i], BITS - levels[i]
-                for t in range(TREES):
-                    p = codes[i, t] >> shift
-                    held = np.flatnonzero(d.cells[t, p << span:(p + 1) << span]) + (p << span)
-                    met = {(int(s), j) for s, n in zip(d.segment[t, held], d.salts[t, held]) for j in range(int(n))}
-                    for s, j in met:
-                        for column, x in zip(out, (t, s, j, b.column("id")[i].as_py(), int(p << shift), int((p + 1) << shift))):
-                            column.append(x)
-                    out_v.extend([packed] * len(met))
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in out], pa.array(out_v, pa.binary())], ["tree", "segment", "salt", "query", "low", "high", "qv"])
+            ids, vectors = b.column("id").to_pylist(), vectors_of(b.column("v"))
+            out: list[tuple] = []
+            for i, t, low, high, met in routes(shared.value, b):
+                packed = vectors[i].tobytes()
+                for s, j in met:
+                    out.append((t, s, j, ids[i], low, high, packed))
+                    if len(out) >= PACK_ROWS:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names)
+                        out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names)
 
     def meet(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple] = []
@@ -214,21 +239,27 @@ def nearest(table: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
             left = left.sort_values("code")
             code, ids = left["code"].to_numpy(), left["ids"].to_numpy()
             c = np.stack([np.frombuffer(x) for x in left["v"]])
+            asked_id, asked_v = right["query"].to_numpy(), right["qv"].to_numpy()
             lo, hi = np.searchsorted(code, right["low"].to_numpy()), np.searchsorted(code, right["high"].to_numpy())
             for (a, b), at in pd.DataFrame({"a": lo, "b": hi}).groupby(["a", "b"]).indices.items():
-                if b > a:
-                    q = np.stack([np.frombuffer(x) for x in right["qv"].to_numpy()[at]])
-                    for i, near in zip(at, best(q, c[a:b], k + 1, list(ids[a:b]))):
-                        one = q[0] if len(at) == 1 else np.frombuffer(right["qv"].to_numpy()[i])
+                for some in np.split(at, range(SLICE_QUERIES, len(at), SLICE_QUERIES)) if b > a else []:
+                    q = np.stack([np.frombuffer(x) for x in asked_v[some]])
+                    for i, one, near in zip(some, q, best(q, c[a:b], k + 1, list(ids[a:b]))):
                         for n in near:
                             v = c[a + n]
-                            found.append((right["query"].to_numpy()[i], ids[a + n], float(one @ v) / (np.sqrt(one @ one) * np.sqrt(v @ v))))
+                            found.append((asked_id[i], ids[a + n], float(one @ v) / (np.sqrt(one @ one) * np.sqrt(v @ v))))
         return pd.DataFrame(found, columns=["query_id", "ids", "score"])
 
     arrays = placed.mapInArrow(stand, "tree long, segment long, salt long, code long, ids array<long>, v binary")
-    routed = queries.mapInArrow(ask, "tree long, segment long, salt long, query long, low long, high long, qv binary")
-    key = ["tree", "segment", "salt"]
-    met = arrays.groupBy(*key).cogroup(routed.groupBy(*key)).applyInPandas(meet, "query_id long, ids array<long>, score double")
+    place = ["tree", "segment", "salt"]
+    kinds = "tree long, segment long, salt long"
+    tallied = queries.mapInArrow(tally, f"{kinds}, n long").groupBy(*place).agg(F.ceil(F.sum("n") / BLOCK_QUERIES).alias("blocks"))
+    blocks = small(stored(tallied, "forest-blocks"), SMALL_KEYS)
+    routed = queries.mapInArrow(ask, f"{kinds}, query long, low long, high long, qv binary").join(blocks, place)
+    routed = routed.withColumn("block", F.pmod(F.xxhash64("query", "qv"), "blocks")).drop("blocks")
+    copied = arrays.join(blocks, place).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+    key = [*place, "block"]
+    met = copied.groupBy(*key).cogroup(routed.groupBy(*key)).applyInPandas(meet, "query_id long, ids array<long>, score double")
     each = met.select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return each.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
