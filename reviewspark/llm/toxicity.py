@@ -6,8 +6,8 @@ document's earlier probability comes from a model that did not see it, so later
 errors that they will meet. The last category is ``toxic`` itself, as labelled; the earlier ones are
 labelled rows that are toxic and hold a seed word of the category.
 
-Features are words and word beginnings (4 and 5 letters) of the whole text, chosen by their
-association with the label over the training rows. The models are fitted on at most ``TRAIN_ROWS``
+Features are words and word beginnings (4 to 8 letters) of the whole text, and marks for beginnings that
+occur at least 2 or 3 times in it, chosen by their association with the label over the training rows. The models are fitted on at most ``TRAIN_ROWS``
 labelled rows, taken in the order of a hash of their id; every document is scored.
 
 Defined results: null and empty texts have no features and are scored like any text; an unlabelled or
@@ -18,6 +18,7 @@ one class only, nothing is toxic; an empty table gives an empty table; other col
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,26 +39,28 @@ FEATURES = 256
 LEAST_ROWS = 5
 FOLDS = 3
 THRESHOLD = 0.5
+BEGINNINGS = range(4, 9)
+#: A beginning that occurs so often in a text is marked by the number behind it; words hold no digits.
+REPEATS = (2, 3)
 REMEMBERED = 100_000
 WORDS = re.compile(r"[^\W\d_]+")
 
 
-def chunk_features(chunk: str) -> set[str]:
-    out = set()
+def chunk_features(chunk: str) -> list[str]:
+    """Words and beginnings, as often as they occur."""
+    out = []
     for w in WORDS.findall(chunk.lower()):
-        out.add("w" + w)
-        if len(w) >= 4:
-            out.add("4" + w[:4])
-        if len(w) >= 5:
-            out.add("5" + w[:5])
+        out.append("w" + w)
+        out.extend(f"{n}{w[:n]}" for n in BEGINNINGS if len(w) >= n)
     return out
 
 
 def text_features(text: str) -> set[str]:
-    out: set[str] = set()
-    for chunk in set(text.split()):
-        out |= chunk_features(chunk)
-    return out
+    counts: Counter = Counter()
+    for chunk, n in Counter(text.split()).items():
+        for f in chunk_features(chunk):
+            counts[f] += n
+    return {*counts, *(f"{f}{n}" for f, c in counts.items() if f[0] != "w" for n in REPEATS if c >= n)}
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int = 200) -> np.ndarray:
@@ -143,20 +146,23 @@ class Scorer:
 
     def __init__(self, model):
         names, self.chain = model or ([], None)
-        self.place, self.known = {f: i for i, f in enumerate(names)}, {}
+        split = [(f[:-1], int(f[-1])) if f[-1].isdigit() else (f, 1) for f in names]
+        self.place = {f: i for i, f in enumerate(dict.fromkeys(f for f, _ in split))}
+        self.of, self.least, self.known = np.array([self.place[f] for f, _ in split], int), np.array([n for _, n in split], int), {}
 
     def probabilities(self, texts: list) -> np.ndarray:
-        x = np.zeros((len(texts), len(self.place)), np.float32)
+        counts = np.zeros((len(texts), len(self.place)), np.int64)
         for i, t in enumerate(texts):
-            for chunk in set((t or "").split()):
+            for chunk, n in Counter((t or "").split()).items():
                 at = self.known.get(chunk)
                 if at is None:
                     at = tuple(self.place[f] for f in chunk_features(chunk) if f in self.place)
                     if len(self.known) >= REMEMBERED:
                         self.known.clear()
                     self.known[chunk] = at
-                if at:
-                    x[i, list(at)] = 1
+                for j in at:
+                    counts[i, j] += n
+        x = (counts[:, self.of] >= self.least).astype(np.float32)
         return apply_chain(x, self.chain) if self.chain else np.zeros((len(texts), len(CATEGORIES)))
 
 
