@@ -80,39 +80,114 @@ INTENSIFIERS = {
     "bgt": "banget", "bngt": "banget", "bgtt": "banget", "sangat": "sangat", "banget": "banget",
     "super": "super", "very": "very", "too": "too",
 }
-# The everyday part of the Indonesian slang table; a full table is a parameter.
+# The whole Indonesian slang table of 473 entries; a deployment's own table is a parameter.
 ID_SLANG = {
-    "yg": "yang", "yng": "yang", "bgt": "banget", "bngt": "banget", "pdhl": "padahal", "tp": "tapi",
-    "tpi": "tapi", "krn": "karena", "karna": "karena", "dgn": "dengan", "dg": "dengan", "dri": "dari",
-    "sm": "sama", "sma": "sama", "sampe": "sampai", "nyampe": "sampai", "gk": "tidak", "ga": "tidak",
-    "gak": "tidak", "nggak": "tidak", "ngga": "tidak", "enggak": "tidak", "kagak": "tidak", "tdk": "tidak",
-    "blm": "belum", "belom": "belum", "udh": "sudah", "udah": "sudah", "sdh": "sudah", "klo": "kalau",
-    "kalo": "kalau", "jd": "jadi", "trs": "terus", "trus": "terus", "cm": "cuma", "cuman": "cuma",
-    "gw": "saya", "gue": "saya", "sy": "saya", "aq": "saya", "kmrn": "kemarin", "kemaren": "kemarin",
-    "skrg": "sekarang", "bs": "bisa", "hrs": "harus", "emg": "memang", "emang": "memang", "bkn": "bukan",
-    "org": "orang", "tmpt": "tempat", "jgn": "jangan", "knp": "kenapa", "gmn": "bagaimana",
-    "gimana": "bagaimana", "utk": "untuk", "biar": "supaya", "kyk": "seperti", "kayak": "seperti",
-    "smoga": "semoga", "msh": "masih", "sblm": "sebelum", "stlh": "setelah", "lg": "lagi", "dlu": "dulu",
-    "ntar": "nanti", "bsk": "besok", "mlm": "malam", "mba": "mbak", "pak": "bapak", "bu": "ibu",
-    "min": "admin", "thx": "terima kasih", "thanks": "terima kasih", "tq": "terima kasih",
-    "makasih": "terima kasih", "pls": "tolong", "please": "tolong", "sorry": "maaf", "bgs": "bagus",
-    "mantab": "mantap", "mantul": "mantap", "mantep": "mantap", "recommended": "direkomendasikan",
-    "rekomen": "direkomendasikan", "worthit": "sepadan", "okey": "baik", "great": "sangat bagus",
-    "awesome": "sangat bagus", "amazing": "sangat bagus", "excellent": "sangat bagus",
-    "perfect": "sempurna", "jos": "bagus", "sip": "bagus", "love": "suka", "luv": "suka",
-    "gercep": "cepat", "satset": "cepat", "murmer": "murah", "bad": "buruk", "zonk": "mengecewakan",
-    "lelet": "lambat", "lemot": "lambat", "jutek": "tidak ramah", "judes": "tidak ramah",
-    "ketus": "tidak ramah", "cuek": "tidak responsif", "ribet": "rumit", "jorok": "kotor",
-    "overpriced": "terlalu mahal", "service": "pelayanan", "servis": "pelayanan",
+    "yg": "yang", "yng": "yang", "bgt": "banget", "bngt": "banget", "bgtt": "banget", "bgttt": "banget",
+    "pdhl": "padahal", "pdahal": "padahal", "tp": "tapi", "tpi": "tapi", "krn": "karena", "karna": "karena",
+    "dgn": "dengan", "dg": "dengan", "dengn": "dengan", "dri": "dari", "sm": "sama", "sma": "sama",
+    "sama2": "sama-sama", "sampe": "sampai", "ampe": "sampai", "sampek": "sampai", "nyampe": "sampai", "gk": "tidak",
+    "ga": "tidak", "gak": "tidak", "gx": "tidak", "nggak": "tidak", "ngga": "tidak", "enggak": "tidak",
+    "engga": "tidak", "kagak": "tidak", "tdk": "tidak", "blm": "belum", "blom": "belum", "belom": "belum",
+    "udh": "sudah", "udah": "sudah", "sdh": "sudah", "dah": "sudah", "klo": "kalau", "kl": "kalau", "kalo": "kalau",
+    "jd": "jadi", "jdi": "jadi", "trs": "terus", "trus": "terus", "trz": "terus", "cm": "cuma", "cman": "cuma",
+    "cuman": "cuma", "gw": "saya", "gue": "saya", "gua": "saya", "sy": "saya", "sya": "saya", "aq": "saya",
+    "kmrn": "kemarin", "kmaren": "kemarin", "kemaren": "kemarin", "skrg": "sekarang", "skr": "sekarang", "bs": "bisa",
+    "bsa": "bisa", "hrs": "harus", "hrus": "harus", "emg": "memang", "emang": "memang", "bkn": "bukan",
+    "org": "orang", "orng": "orang", "tmpt": "tempat", "tempet": "tempat", "jgn": "jangan", "jng": "jangan",
+    "knp": "kenapa", "kenap": "kenapa", "gmn": "bagaimana", "gmna": "bagaimana", "gimana": "bagaimana",
+    "bgmn": "bagaimana", "utk": "untuk", "u/": "untuk", "biar": "supaya", "spy": "supaya", "kyk": "seperti",
+    "kayak": "seperti", "kek": "seperti", "smoga": "semoga", "moga": "semoga", "msh": "masih", "msih": "masih",
+    "sblm": "sebelum", "seblm": "sebelum", "stlh": "setelah", "lg": "lagi", "lgi": "lagi", "dlu": "dulu",
+    "dl": "dulu", "ntar": "nanti", "ntr": "nanti", "entar": "nanti", "bsk": "besok", "mlm": "malam", "malem": "malam",
+    "pgi": "pagi", "org2": "orang-orang", "anak2": "anak-anak", "ibu2": "ibu-ibu", "bapak2": "bapak-bapak",
+    "mba": "mbak", "mb": "mbak", "pak": "bapak", "bpk": "bapak", "bu": "ibu", "kak": "kakak", "min": "admin",
+    "mimin": "admin", "minn": "admin", "adminn": "admin", "thx": "terima kasih", "thanks": "terima kasih",
+    "thankyou": "terima kasih", "tq": "terima kasih", "tks": "terima kasih", "mksh": "terima kasih",
+    "makasih": "terima kasih", "makasi": "terima kasih", "trims": "terima kasih", "trimakasih": "terima kasih",
+    "pls": "tolong", "plis": "tolong", "please": "tolong", "sorry": "maaf", "sory": "maaf", "sori": "maaf",
+    "maap": "maaf", "maf": "maaf", "bgs": "bagus", "bgus": "bagus", "mantab": "mantap", "mantabb": "mantap",
+    "mantul": "mantap", "mantep": "mantap", "mantapp": "mantap", "toppp": "bagus", "topmarkotop": "sangat bagus",
+    "recommended": "direkomendasikan", "recommend": "direkomendasikan", "rekomen": "direkomendasikan",
+    "recomended": "direkomendasikan", "recomend": "direkomendasikan", "rekomended": "direkomendasikan",
+    "worthit": "sepadan", "worth-it": "sepadan", "okee": "baik", "okey": "baik", "okay": "baik", "goodd": "bagus",
+    "goood": "bagus", "great": "sangat bagus", "awesome": "sangat bagus", "amazing": "sangat bagus",
+    "excellent": "sangat bagus", "perfect": "sempurna", "jos": "bagus", "joss": "bagus", "sip": "bagus",
+    "sipp": "bagus", "kereen": "bagus", "kerenn": "bagus", "love": "suka", "luv": "suka", "gercep": "cepat",
+    "satset": "cepat", "murmer": "murah", "bad": "buruk", "badd": "buruk", "verybad": "sangat buruk",
+    "zonk": "mengecewakan", "zonkk": "mengecewakan", "lelet": "lambat", "lemot": "lambat", "jutek": "tidak ramah",
+    "judes": "tidak ramah", "ketus": "tidak ramah", "songong": "tidak ramah", "cuek": "tidak responsif",
+    "ribet": "rumit", "rempong": "rumit", "jorok": "kotor", "jorokk": "kotor", "overprice": "terlalu mahal",
+    "overpriced": "terlalu mahal", "gaenak": "tidak enak", "gakenak": "tidak enak",
+    "notrecommended": "tidak direkomendasikan", "pelayananya": "pelayanannya", "pelayannnya": "pelayanannya",
+    "pelayannya": "pelayanannya", "pelayannannya": "pelayanannya", "pelayananannya": "pelayanannya",
+    "pelayann": "pelayanan", "layanananya": "layanannya", "service": "pelayanan", "servis": "pelayanan",
     "servicenya": "pelayanannya", "servisnya": "pelayanannya", "staff": "staf", "staffnya": "stafnya",
-    "slowrespon": "lambat merespons", "fastrespon": "cepat merespons", "helpful": "membantu",
-    "friendly": "ramah", "antri": "antre", "antrian": "antrean", "antriannya": "antreannya",
-    "ngantri": "mengantre", "queue": "antrean", "waiting": "menunggu", "nunggu": "menunggu",
-    "parkiran": "area parkir", "parking": "parkir", "maps": "peta", "nyasar": "tersesat",
-    "jln": "jalan", "wc": "toilet", "musholla": "musala", "mushola": "musala", "clean": "bersih",
-    "pesing": "bau urine", "coffeshop": "coffee shop", "coffeeshop": "coffee shop", "resto": "restoran",
-    "restaurant": "restoran", "makananya": "makanannya", "food": "makanan", "drink": "minuman",
-    "taste": "rasa", "yummy": "enak", "delicious": "enak", "coffee": "kopi",
+    "petugass": "petugas", "pegawainyaa": "pegawainya", "slowrespon": "lambat merespons",
+    "slowresponse": "lambat merespons", "slowresp": "lambat merespons", "fastrespon": "cepat merespons",
+    "fastresponse": "cepat merespons", "responsive": "responsif", "helpfull": "membantu", "helpful": "membantu",
+    "friendly": "ramah", "unfriendly": "tidak ramah", "antri": "antre", "antrian": "antrean",
+    "antriannya": "antreannya", "antriann": "antrean", "ngantri": "mengantre", "ngantre": "mengantre",
+    "queue": "antrean", "waiting": "menunggu", "wait": "menunggu", "nunggu": "menunggu", "nungguin": "menunggu",
+    "kelamaan": "terlalu lama", "parkiran": "area parkir", "parkirannya": "area parkirnya",
+    "parkiranya": "area parkirnya", "parking": "parkir", "vallet": "valet", "maps": "peta", "gmap": "google maps",
+    "gmaps": "google maps", "nyasar": "tersesat", "kesasar": "tersesat", "acces": "akses", "access": "akses",
+    "jln": "jalan", "jl": "jalan", "facilities": "fasilitas", "facility": "fasilitas", "wc": "toilet",
+    "toilet nya": "toiletnya", "musholla": "musala", "mushola": "musala", "musholah": "musala", "wi-fi": "wifi",
+    "wifi nya": "wifi", "clean": "bersih", "cleaning": "kebersihan", "debuan": "berdebu", "pesing": "bau urine",
+    "coffeshop": "coffee shop", "coffeeshop": "coffee shop", "coffee-shop": "coffee shop",
+    "coffe shop": "coffee shop", "cofee shop": "coffee shop", "caffe": "kafe", "café": "kafe", "resto": "restoran",
+    "restaurant": "restoran", "restauran": "restoran", "makananya": "makanannya", "mknannya": "makanannya",
+    "makannannya": "makanannya", "mkanan": "makanan", "mknan": "makanan", "minumanya": "minumannya",
+    "mnman": "minuman", "food": "makanan", "foods": "makanan", "drink": "minuman", "drinks": "minuman",
+    "taste": "rasa", "yummy": "enak", "yumm": "enak", "delicious": "enak", "coffee": "kopi",
+    "cappucino": "cappuccino", "capucino": "cappuccino", "expresso": "espresso", "espreso": "espresso",
+    "cashier": "kasir", "waiter": "pramusaji", "waitress": "pramusaji", "orderan": "pesanan", "pesen": "pesan",
+    "mesen": "memesan", "pesenan": "pesanan", "takeaway": "bawa pulang", "take-away": "bawa pulang",
+    "dinein": "makan di tempat", "dine-in": "makan di tempat", "ambience": "suasana", "ambiance": "suasana",
+    "vibes": "suasana", "vibe": "suasana", "cozy": "nyaman", "comfy": "nyaman", "instagramable": "instagrammable",
+    "aesthetic": "estetis", "aestetik": "estetis", "estetik": "estetis", "nongki": "nongkrong",
+    "wfc": "work from cafe", "smokingarea": "area merokok", "nosmoking": "dilarang merokok", "outdor": "outdoor",
+    "indor": "indoor", "portion": "porsi", "price": "harga", "hrg": "harga", "rmh sakit": "rumah sakit",
+    "puskes": "puskesmas", "pusk": "puskesmas", "clinic": "klinik", "nurse": "perawat", "nakes": "tenaga kesehatan",
+    "apotik": "apotek", "apotekk": "apotek", "pharmacy": "apotek", "laborat": "laboratorium", "xray": "rontgen",
+    "x-ray": "rontgen", "medicalcheckup": "pemeriksaan kesehatan", "medical checkup": "pemeriksaan kesehatan",
+    "checkup": "pemeriksaan", "rawatinap": "rawat inap", "rawatjalan": "rawat jalan", "ranap": "rawat inap",
+    "rajal": "rawat jalan", "diagnosa": "diagnosis", "registration": "pendaftaran", "pemda": "pemerintah daerah",
+    "pemkot": "pemerintah kota", "pemkab": "pemerintah kabupaten", "pemprov": "pemerintah provinsi",
+    "dukcapil": "dinas kependudukan dan pencatatan sipil", "disdukcapil": "dinas kependudukan dan pencatatan sipil",
+    "disduk": "dinas kependudukan", "dinkes": "dinas kesehatan", "disnaker": "dinas tenaga kerja",
+    "dishub": "dinas perhubungan", "dinsos": "dinas sosial", "disdik": "dinas pendidikan", "ektp": "KTP elektronik",
+    "e-ktp": "KTP elektronik", "e ktp": "KTP elektronik", "passport": "paspor", "ijin": "izin",
+    "fotocopy": "fotokopi", "foto copy": "fotokopi", "mall pelayanan publik": "mal pelayanan publik",
+    "banking": "perbankan", "custservice": "layanan pelanggan", "cust service": "layanan pelanggan",
+    "customer-service": "layanan pelanggan", "mbanking": "mobile banking", "m-banking": "mobile banking",
+    "m banking": "mobile banking", "mobilebanking": "mobile banking", "ibanking": "internet banking",
+    "i-banking": "internet banking", "internetbanking": "internet banking", "creditcard": "kartu kredit",
+    "credit card": "kartu kredit", "adminfee": "biaya administrasi", "admin fee": "biaya administrasi",
+    "bansos": "bantuan sosial", "blt": "bantuan langsung tunai", "sembako": "bantuan sembako",
+    "difabel": "penyandang disabilitas", "panti jompo": "panti lansia", "sekolahan": "sekolah", "univ": "universitas",
+    "university": "universitas", "perpus": "perpustakaan", "library": "perpustakaan", "guesthouse": "penginapan",
+    "guest house": "penginapan", "homestay": "penginapan", "room": "kamar", "receptionist": "resepsionis",
+    "reception": "resepsionis", "checkin": "check-in", "check in": "check-in", "checkout": "check-out",
+    "check out": "check-out", "breakfast": "sarapan", "pool": "kolam renang", "swimmingpool": "kolam renang",
+    "store": "toko", "shop": "toko", "mall": "pusat perbelanjaan", "product": "produk", "stock": "stok",
+    "discount": "diskon", "disc": "diskon", "promotion": "promosi", "service mobil": "servis mobil",
+    "service motor": "servis motor", "mechanic": "mekanik", "sparepart": "suku cadang", "spare part": "suku cadang",
+    "onderdil": "suku cadang", "carwash": "pencucian mobil", "car wash": "pencucian mobil", "station": "stasiun",
+    "commuterline": "kereta komuter", "commuter line": "kereta komuter", "ojol": "ojek online",
+    "ojekonline": "ojek online", "driver": "pengemudi", "supir": "pengemudi", "ticket": "tiket",
+    "view": "pemandangan", "scenery": "pemandangan", "photo": "foto", "familyfriendly": "ramah keluarga",
+    "family friendly": "ramah keluarga", "kidsfriendly": "ramah anak", "kids friendly": "ramah anak",
+    "kidfriendly": "ramah anak", "app": "aplikasi", "apps": "aplikasi", "apk": "aplikasi", "web": "situs web",
+    "system": "sistem", "eror": "error", "errorr": "error", "err": "error", "bug": "gangguan sistem",
+    "bugs": "gangguan sistem", "server down": "server tidak dapat diakses", "loading lama": "lambat memuat",
+    "log in": "masuk", "log out": "keluar", "notif": "notifikasi", "notification": "notifikasi",
+    "callcenter": "call center", "custcare": "layanan pelanggan", "wa": "WhatsApp", "w.a": "WhatsApp",
+    "telp": "telepon", "tlp": "telepon", "telfon": "telepon", "telefon": "telepon", "telpon": "telepon",
+    "bales": "balas", "dibales": "dibalas", "komplain": "keluhan", "complain": "keluhan", "complaint": "keluhan",
+    "komplenan": "keluhan", "kwalitas": "kualitas", "aktifitas": "aktivitas", "resiko": "risiko",
+    "praktek": "praktik", "sekedar": "sekadar", "rapih": "rapi", "nafas": "napas", "jaman": "zaman",
+    "silahkan": "silakan", "nomer": "nomor",
 }
 EN_SLANG = {
     "luv": "love", "gr8": "great", "gud": "good", "thx": "thanks", "pls": "please", "plz": "please",

@@ -198,3 +198,13 @@ def test_merge_spans_against_brute_force(spark):
         df = spark.createDataFrame([([(a, b, s, "v", False, None) for a, b, s in spans],)], f"s {sp.SPANS}")
         got = [(x["start"], x["end"]) for x in df.select(sp.merge_spans(F.col("s")).alias("m")).first()["m"]]
         assert got == _greedy(spans, clash)
+
+
+def test_whole_slang_table(spark):
+    """Forms that the everyday part of the table did not hold."""
+    golden = [("dah kl jdi gua sya orng", "sudah kalau jadi saya saya orang"), ("engga blom mksh", "tidak belum terima kasih"), ("topmarkotop plis", "sangat bagus tolong")]
+    df = spark.createDataFrame([(a, b, "id") for a, b in golden], "text string, want string, lang string")
+    assert all(r["normalized_text"] == r["want"] for r in nz.normalize(df, "text", language="lang").collect())
+    assert all(r["normalized_text"] == r["want"] for r in nz.normalize_profile(df, "text").collect())
+    assert df.select(nz.token_language(F.lit("engga"), F.lit("en")).alias("l")).first()["l"] == "id"
+    assert len(lx.ID_SLANG) == 473
