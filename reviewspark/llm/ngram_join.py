@@ -54,7 +54,7 @@ CLASS_TOKENS = 8
 REMEMBERED = 100_000
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
-ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 FOLD = {c: c + 32 for c in range(65, 91)}
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
