@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewspark.llm import bpe, exact_dedup, mixing, ngram_join, quality, secret_scan, sharding, toxicity, url_filter, vector_search
+from reviewspark.llm import bpe, exact_dedup, merkle, mixing, ngram_join, quality, secret_scan, sharding, toxicity, url_filter, vector_search
 from reviewspark.registry import query, table
 
 SQL_WORDS = "len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))"
@@ -162,3 +162,56 @@ def random_indexing(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_prefix_forest")
 def prefix_forest(spark: SparkSession, sf: str) -> DataFrame:
     return vector_search.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+#: Unsigned crc32 of a list of byte values; the table of 256 entries comes from the polynomial.
+SQL_CRC_TABLE = """(SELECT list(list_reduce([i] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i))"""
+
+
+def sql_crc(codes: str) -> str:
+    """``codes``: a list of byte values; the table is the column ``t``."""
+    return f"xor(4294967295::BIGINT, list_reduce([4294967295::BIGINT] || {codes}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"
+
+
+def _sql_merkle() -> str:
+    def field(v):
+        return f"coalesce(octet_length(encode(({v})::VARCHAR))::VARCHAR || ':' || ({v})::VARCHAR, '-')"
+    fixed = " || ".join(field(c) for c in ("doc_id", "source", "lang"))
+    up = "list_transform(range(1, len(nodes) + 1, 2), lambda i: sha256(nodes[i] || coalesce(nodes[i + 1], '')))"
+    path = """list_transform(range(1, len(stack)), lambda l: CASE WHEN (place >> (l - 1)) % 2 = 1 THEN stack[l][place >> (l - 1)] || '|'
+      ELSE '|' || coalesce(stack[l][(place >> (l - 1)) + 2], '') END)"""
+    crc = sql_crc("list_transform(string_split(doc_id::VARCHAR, ''), lambda c: unicode(c)::BIGINT)")
+    return f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, sha256({fixed} || {field('n_chars')} || {field('text')}) AS leaf,
+    CASE WHEN {crc} % 7 = 0 THEN sha256({fixed} || {field('n_chars::HUGEINT + 1')} || {field('text')}) END AS other
+  FROM documents, {SQL_CRC_TABLE}
+), levels AS (
+  SELECT lang, 0 AS level, list(leaf ORDER BY doc_id NULLS FIRST, leaf) AS nodes FROM d GROUP BY lang
+  UNION ALL
+  SELECT lang, level + 1, {up} FROM levels WHERE len(nodes) > 1
+), trees AS (
+  SELECT lang, list(nodes ORDER BY level) AS stack FROM levels GROUP BY lang
+), tops AS (
+  SELECT 0 AS level, list(stack[len(stack)][1] ORDER BY lang NULLS FIRST) AS nodes FROM trees
+  UNION ALL
+  SELECT level + 1, {up} FROM tops WHERE len(nodes) > 1
+), top_stack AS (
+  SELECT list(nodes ORDER BY level) AS stack FROM tops
+), tree_paths AS (
+  SELECT lang, stack[len(stack)][1] AS root, {path} AS path
+  FROM (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM trees), top_stack
+), leaf_paths AS (
+  SELECT doc_id, d.lang, leaf, other, stack[len(stack)][1] AS subroot, {path} AS path
+  FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM d) d JOIN trees t ON d.lang IS NOT DISTINCT FROM t.lang
+), folded AS (
+  SELECT doc_id, leaf, subroot, root, l.path || p.path AS path,
+    list_reduce([coalesce(other, leaf)] || l.path || p.path, lambda a, s: sha256(string_split(s, '|')[1] || a || string_split(s, '|')[2])) AS folded_root
+  FROM leaf_paths l JOIN tree_paths p ON l.lang IS NOT DISTINCT FROM p.lang
+)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(path, ''), '|', '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded"""
+
+
+@query("op13_merkle_manifest", _sql_merkle())
+def merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.document_manifest(table(spark, sf, "documents"))
