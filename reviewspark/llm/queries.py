@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewspark.llm import bpe, exact_dedup, merkle, mixing, ngram_join, quality, secret_scan, sharding, toxicity, url_filter, vector_search
+from reviewspark.llm import bpe, exact_dedup, merkle, mixing, ngram_join, quality, secret_scan, sharding, spelling, toxicity, url_filter, vector_search
 from reviewspark.registry import query, table
 
 SQL_WORDS = "len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))"
@@ -215,3 +215,38 @@ SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(path, ''), '|
 @query("op13_merkle_manifest", _sql_merkle())
 def merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return merkle.document_manifest(table(spark, sf, "documents"))
+
+
+SQL_SPELLING = f"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS c
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{{7,}}')) AS run FROM documents) GROUP BY ALL
+), summed AS (
+  SELECT run, c, {sql_crc("flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda s: CASE WHEN unicode(s) < 128 THEN [unicode(s)::BIGINT] ELSE [195::BIGINT, unicode(s)::BIGINT - 64] END))")} AS h
+  FROM runs, {SQL_CRC_TABLE}
+), words AS (
+  SELECT word, sum(c)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM summed
+  ) WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2
+), cut AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS v FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.i = b.i AND a.v = b.v AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.v = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.v = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, max(other_n) AS form_n, arg_min(other, (-other_n, other)) AS form FROM near GROUP BY word
+), forms AS (
+  SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * n THEN form END AS form, CASE WHEN form_n >= 10 * n THEN form_n END AS form_n
+  FROM words LEFT JOIN best ON words.word = best.word
+), follow AS (
+  SELECT word, word AS root, form AS next FROM forms
+  UNION ALL
+  SELECT follow.word, forms.word, forms.form FROM follow JOIN forms ON follow.next = forms.word
+)
+SELECT forms.word, form, root, n, n_near, form_n FROM forms JOIN follow ON forms.word = follow.word AND follow.next IS NULL"""
+
+
+@query("op12_spelling_variants", SQL_SPELLING)
+def spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf, "documents"))
