@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewspark.llm import bpe, exact_dedup, merkle, mixing, ngram_join, quality, secret_scan, sharding, spelling, toxicity, url_filter, vector_search
+from reviewspark.llm import bpe, exact_dedup, merkle, mixing, ngram_join, quality, repeats, secret_scan, sharding, spelling, toxicity, url_filter, vector_search
 from reviewspark.registry import query, table
 
 SQL_WORDS = "len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))"
@@ -250,3 +250,36 @@ SELECT forms.word, form, root, n, n_near, form_n FROM forms JOIN follow ON forms
 @query("op12_spelling_variants", SQL_SPELLING)
 def spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf, "documents"))
+
+
+#: Texts as hex digits, so that positions are bytes.
+SQL_REPEATS = """
+WITH d AS (
+  SELECT row_number() OVER () AS uid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), p AS (
+  SELECT uid, doc_id, j, substr(h, 2 * j + 1, 1122) AS piece FROM (SELECT uid, doc_id, h, unnest(range(0, length(h) // 2, 512)) AS j FROM d)
+), s AS (
+  SELECT uid, doc_id, j + i AS i, md5(substr(piece, 2 * i + 1, 100)) AS w
+  FROM (SELECT uid, doc_id, j, piece, unnest(range(0, least(512, length(piece) // 2 - 49))) AS i FROM p)
+), f AS (
+  SELECT w, min(coalesce(doc_id, 9223372036854775807)) AS low FROM s GROUP BY w HAVING count(*) > 1
+), hit AS (
+  SELECT uid, i FROM s JOIN f ON s.w = f.w WHERE coalesce(doc_id, 9223372036854775807) > low
+), runs AS (
+  SELECT uid, min(i) AS lo, max(i) + 50 AS hi FROM (
+    SELECT uid, i, sum(fresh) OVER (PARTITION BY uid ORDER BY i) AS run FROM (
+      SELECT uid, i, CASE WHEN i - lag(i) OVER (PARTITION BY uid ORDER BY i) <= 50 THEN 0 ELSE 1 END AS fresh FROM hit)
+  ) GROUP BY uid, run
+), spans AS (
+  SELECT uid, list(lo ORDER BY lo) AS los, list(hi ORDER BY lo) AS his, sum(hi - lo) AS n_removed, count(*) AS n_spans FROM runs GROUP BY uid
+)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN los IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(los) + 1), lambda k:
+    substr(h, CASE WHEN k = 0 THEN 1 ELSE 2 * his[k] + 1 END, greatest(0, 2 * (CASE WHEN k = len(los) THEN length(h) // 2 ELSE los[k + 1] END
+      - CASE WHEN k = 0 THEN 0 ELSE his[k] END)))), '') END)) AS kept_sha256
+FROM d LEFT JOIN spans ON d.uid = spans.uid"""
+
+
+@query("op11_repeat_tree", SQL_REPEATS)
+def repeat_tree(spark: SparkSession, sf: str) -> DataFrame:
+    return repeats.repeated_bytes(table(spark, sf, "documents"))
