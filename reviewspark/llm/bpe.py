@@ -32,6 +32,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reviewspark.llm.common import mapped
+
 LEXICON_WORDS = 65_536
 #: Chunks (and words) of text that a task remembers per generation: bounds its memory, not its results.
 REMEMBERED = 150_000
@@ -261,28 +263,17 @@ def build_lexicon(merges: Merges, words: list[str]) -> bytes:
     return compile_lexicon({raw: merges.merge(raw) for w in words if (raw := w.encode("utf-8", "surrogatepass"))})
 
 
-_TASK: dict = {}
-
-
-def task_encoder(key: str, merges, block) -> Encoder:
-    """One encoder per Python worker; its vocabulary and automaton outlive a task, what it remembers does not."""
-    if _TASK.get("key") != key:
-        _TASK.update(key=key, encoder=Encoder(merges.value, Lexicon(block.value)))
-    return _TASK["encoder"]
-
-
 def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", words: int = LEXICON_WORDS, with_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), with ``ids`` and ``decoded`` too if asked for."""
     spark = docs.sparkSession
     model = Merges(path)
     merges = spark.sparkContext.broadcast(model)
     block = spark.sparkContext.broadcast(build_lexicon(model, frequent_words(docs, text, words)))
-    key = hashlib.sha256(block.value + path.encode()).hexdigest()
     rows = docs.select(docs[doc_id].alias("doc_id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = task_encoder(key, merges, block)
+        encoder = Encoder(merges.value, Lexicon(block.value))
         for batch in batches:
             out: dict[str, list] = {"n": [], "a": [], "b": [], "ids": [], "decoded": []}
             for value in batch.column("text"):
@@ -299,7 +290,6 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
                 columns += [pa.array(out["ids"], pa.list_(pa.int32())), pa.array(out["decoded"], pa.string())]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names)
-        encoder.forget()
 
     extra = ", ids array<int>, decoded string" if with_ids else ""
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{extra}")
+    return mapped(rows, run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{extra}")

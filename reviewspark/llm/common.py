@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +26,39 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that the engine hands to Python at once, and bytes that a task works on at once.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
+
+
+def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` in bounded memory.
+
+    Batches are kept small on both sides (the session's Arrow batch size is lowered, never raised), and what
+    the allocators of a worker hold free is given back at the end of a task, so that stages that follow each
+    other in one worker do not add up.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            step = max(1, int(b.num_rows * BATCH_BYTES / max(b.nbytes, 1)))
+            for lo in range(0, b.num_rows, step):
+                yield b.slice(lo, step)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(sliced(batches))
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return df.mapInArrow(whole, schema)
+
+
 #: Keys up to this number are broadcast to a scan; more are joined by a shuffle.
 SMALL_KEYS = 1_000_000
 

@@ -24,6 +24,7 @@ all ids of the group are null; an empty table gives an empty table; other column
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -33,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewspark.llm.common import SMALL_KEYS, stored
+from reviewspark.llm.common import SMALL_KEYS, mapped, stored
+from reviewspark.llm.words import shingle_sets
 from reviewspark.operators.dedup import connected_components
 from reviewspark.scale import lookup_by_key, small
 
@@ -51,7 +53,6 @@ BLOCK_TOKENS = 1_000_000
 #: Tokens that a task counts before it sends them on.
 PACK_TOKENS = 2_000_000
 CLASS_TOKENS = 8
-REMEMBERED = 100_000
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
 ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -60,37 +61,11 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str) -> list[str]:
+    """The words as text; ``words.shingle_sets`` hashes the same ones."""
     low = text.lower() if text.isascii() else text.translate(FOLD)
     return WORD.findall(low) if ODD.search(low) else low.split()
 
 
-class Shingler:
-    """Whole texts to sorted arrays of distinct 64-bit shingle hashes."""
-
-    def __init__(self, n: int = N):
-        self.n, self.known = n, {}
-
-    def word(self, w: str) -> int:
-        h = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        self.known[w] = h
-        return h
-
-    def tokens(self, text: str | None) -> np.ndarray:
-        words = words_of(text or "")
-        if not words:
-            return np.zeros(0, np.uint64)
-        get, word = self.known.get, self.word
-        h = np.array([get(w) or word(w) for w in words], np.uint64)
-        width = min(self.n, len(h))
-        out = np.full(len(h) - width + 1, np.uint64(width))
-        for k in range(width):
-            out = (out ^ h[k:len(h) - width + 1 + k]) * MIX
-            out ^= out >> np.uint64(29)
-        return np.unique(out)
-
-
 def smallest_overlap(n):
     """Tokens that a set of ``n`` shares at least with any set that reaches the threshold."""
     return (NUM * n + DEN - 1) // DEN
@@ -111,6 +86,11 @@ def combine(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
     return out ^ (out >> np.uint64(31))
 
 
+@functools.lru_cache(256)
+def pairs_below(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
+
 def last_rare(rare: np.ndarray, used: int) -> int:
     if used == len(rare):
         return int(np.iinfo(np.int64).max)
@@ -139,7 +119,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, in
         group = (chosen >> np.uint64(7)) % np.uint64(c)
         for g in np.unique(group):
             m = chosen[group == g]
-            i, j = np.triu_indices(len(m), 1)
+            i, j = pairs_below(len(m))
             if len(i):
                 found.append(combine(m[i], m[j], b))
     part = rare[:longest]
@@ -148,7 +128,9 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, in
 
 
 def frequent_tokens(rows: DataFrame, least: int = FREQUENT_DF, limit: int = FREQUENT_TOKENS) -> tuple[np.ndarray, int]:
-    """The tokens of the most documents, counted over all of them: at most ``limit`` heads in ascending order, and bits.
+    """The tokens of at least ``least`` documents, counted over all of them: heads in ascending order, and bits.
+
+    Where they are more than ``limit``, a histogram by frequency tells from which frequency on they are taken.
 
     A task sends its tokens packed by block (the leading bits of the hash), each with its own count, so
     a token of many documents is one entry per task.
@@ -157,7 +139,7 @@ def frequent_tokens(rows: DataFrame, least: int = FREQUENT_DF, limit: int = FREQ
     bits = max(8, int(np.ceil(np.log2(int(spark.conf.get("spark.sql.shuffle.partitions")) * 4))))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, held, n = Shingler(), [], 0
+        held, n = [], 0
 
         def flush():
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -173,9 +155,9 @@ def frequent_tokens(rows: DataFrame, least: int = FREQUENT_DF, limit: int = FREQ
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), *[pa.array(x, pa.binary()) for x in (once, more, times)]], ["block", "once", "more", "times"])
 
         for b in batches:
-            for t in b.column("text"):
-                held.append(shingler.tokens(t.as_py()))
-                n += len(held[-1])
+            for tokens in shingle_sets(b.column("text"), N):
+                held.append(tokens)
+                n += len(tokens)
                 if n > PACK_TOKENS:
                     yield flush()
                     held, n = [], 0
@@ -193,9 +175,17 @@ def frequent_tokens(rows: DataFrame, least: int = FREQUENT_DF, limit: int = FREQ
         often = df >= least
         return pa.table({"block": np.full(often.sum(), key[0].as_py(), np.int64), "token": tokens[first][often].astype(np.int64), "df": df[often]})
 
-    packed = rows.select("text").mapInArrow(pack, "block int, once binary, more binary, times binary")
+    packed = mapped(rows.select("text"), pack, "block int, once binary, more binary, times binary")
     counted = packed.groupBy("block").applyInArrow(count, "block long, token long, df long")
-    best = counted.orderBy(F.col("df").desc(), "block", "token").limit(limit).toArrow()
+    step = F.floor(F.log2("df") * 8)
+    counted = stored(counted.withColumn("step", step), "jaccard-frequent")
+    left, lowest = limit, None
+    for r in counted.groupBy("step").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("step").desc()).collect():
+        left -= r["n"]
+        if left < 0:
+            break
+        lowest = r["step"]
+    best = counted.where(F.col("step") >= F.lit(lowest)).select("block", "token").toArrow()
     block, token = (best.column(c).to_numpy().astype(np.uint64) for c in ("block", "token"))
     return np.sort((block << np.uint64(32)) | token), bits
 
@@ -205,11 +195,10 @@ def indexed(rows: DataFrame, frequent: np.ndarray, bits: int) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, often = Shingler(), shared.value
+        often = shared.value
         for b in batches:
             out: list[list] = [[] for _ in range(5)]
-            for t in b.column("text"):
-                tokens = shingler.tokens(t.as_py())
+            for tokens in shingle_sets(b.column("text"), N):
                 sigs, rare, last = np.zeros(0, np.uint64), 0, 0
                 if len(tokens):
                     # frequent tokens are known by their leading bits only
@@ -222,7 +211,7 @@ def indexed(rows: DataFrame, frequent: np.ndarray, bits: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), *[pa.array(c, t) for c, t in zip(out, (
                 pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.int64()))]], ["doc_id", "text_hash", "n", "digest", "sigs", "rare", "last"])
 
-    return rows.mapInArrow(run, "doc_id long, text_hash long, n long, digest binary, sigs array<long>, rare int, last long")
+    return mapped(rows, run, "doc_id long, text_hash long, n long, digest binary, sigs array<long>, rare int, last long")
 
 
 def verify(members: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -278,7 +267,7 @@ def verify(members: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     dealt = members.repartition("family", "part").sortWithinPartitions("family", "part", "node")
-    return dealt.mapInArrow(run, "a long, b long")
+    return mapped(dealt, run, "a long, b long")
 
 
 def candidate_edges(sigs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -355,13 +344,12 @@ def blocks(docs: DataFrame, doc_id: str, text: str, own: DataFrame, families: Da
     rows = rows.join(small(wanted.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("k")).distinct(), SMALL_KEYS), "k", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
         for b in batches:
-            sets = [shingler.tokens(t.as_py()).tobytes() for t in b.column("text")]
+            sets = [tokens.tobytes() for tokens in shingle_sets(b.column("text"), N)]
             digests = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
             yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], ["k", "digest", "tokens"])
 
-    made = rows.mapInArrow(run, "k long, digest binary, tokens binary").dropDuplicates(["digest"])
+    made = mapped(rows, run, "k long, digest binary, tokens binary").dropDuplicates(["digest"])
     full = wanted.select("family", "node", "cut", "block", "digest").join(made.select("digest", "tokens"), "digest")
     # block i meets block j: part (i, j) with i <= j; the part of a block with itself compares all its members
     met = F.transform(F.sequence(F.lit(0), F.col("cut") - 1), lambda o: F.struct(

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewspark.llm.common import stored
+from reviewspark.llm.common import mapped, stored
 
 BUCKETS = 1 << 14
 DIMENSIONS = 32
@@ -101,7 +101,7 @@ def word_vectors(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.nd
         table = total.reshape(BUCKETS, DIMENSIONS)[seen].astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen]), *[pa.array(table[:, d]) for d in range(DIMENSIONS)]], ["bucket", "n", *columns])
 
-    parts = docs.select(docs[text].cast("string").alias("text")).mapInArrow(run, "bucket long, n long, " + ", ".join(f"{c} long" for c in columns))
+    parts = mapped(docs.select(docs[text].cast("string").alias("text")), run, "bucket long, n long, " + ", ".join(f"{c} long" for c in columns))
     sums = parts.groupBy("bucket").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in columns]).toArrow()
     vectors, counts = np.zeros((BUCKETS, DIMENSIONS), np.float32), np.zeros(BUCKETS)
     at = sums.column("bucket").to_numpy()
@@ -129,7 +129,7 @@ def pooled(docs: DataFrame, vectors: np.ndarray, counts: np.ndarray, doc_id: str
                     pools[i] = np.r_[mean, v.std(axis=0)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(list(pools), pa.list_(pa.float32()))], ["doc_id", "pool"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, pool array<float>")
+    return mapped(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, pool array<float>")
 
 
 class Network:
@@ -198,5 +198,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, do
             pool = b.column("pool").flatten().to_numpy(zero_copy_only=False).reshape(-1, 2 * DIMENSIONS).astype(np.float64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(shared.value.scores(pool), pa.float64())], ["doc_id", "score"])
 
-    scored = pools.mapInArrow(run, f"doc_id {pools.schema['doc_id'].dataType.simpleString()}, score double")
+    scored = mapped(pools, run, f"doc_id {pools.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

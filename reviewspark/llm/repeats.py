@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewspark.llm.common import SMALL_KEYS, stored
+from reviewspark.llm.common import SMALL_KEYS, mapped, stored
 from reviewspark.scale import lookup_by_key, small
 
 LEAST = 50
@@ -202,7 +202,7 @@ def packed_anchors(rows: DataFrame, bits: int, heavy: int = HEAVY) -> DataFrame:
         if n:
             yield flush()
 
-    return rows.select("rank", "text").mapInArrow(run, "block int, a binary, c binary, d binary, base long, ha binary, hc binary, hd binary")
+    return mapped(rows.select("rank", "text"), run, "block int, a binary, c binary, d binary, base long, ha binary, hc binary, hd binary")
 
 
 def judged(packed: DataFrame) -> DataFrame:
@@ -276,7 +276,7 @@ def contexts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (
                     pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["a", "c", "d", "o", "context"])
 
-    made = held.join(lists, "rank").select("rank", "text", "wanted").mapInArrow(run, "a long, c long, d long, o int, context binary")
+    made = mapped(held.join(lists, "rank").select("rank", "text", "wanted"), run, "a long, c long, d long, o int, context binary")
     return made.dropDuplicates(["a", "c"])
 
 
@@ -388,7 +388,7 @@ def _of_groups(found: DataFrame, process, schema: str, names: list[str]) -> Data
                 yield out
 
     dealt = found.select("a", "c", "d", "o", "context").repartition("a").sortWithinPartitions("a", "c")
-    return dealt.mapInArrow(run, schema)
+    return mapped(dealt, run, schema)
 
 
 def earlier_repeats(found: DataFrame) -> DataFrame:
@@ -539,6 +539,6 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         untouched = rows.join(keys, "rank", "left_anti").select(
             "rank", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
             F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
-    out = touched.select("rank", "text", "cs", "parts").mapInArrow(run, schema)
+    out = mapped(touched.select("rank", "text", "cs", "parts"), run, schema)
     out = out.union(untouched) if untouched is not None else out
     return out.select(F.when(F.col("rank") != LAST, F.col("rank")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")

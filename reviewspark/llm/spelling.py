@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewspark.llm.common import stored
+from reviewspark.llm.common import mapped, stored
 from reviewspark.scale import spread
 
 LEAST_LETTERS = 7
@@ -136,7 +136,7 @@ def keyed(words: DataFrame, symbols: int | None) -> DataFrame:
                 ids[places] = ids_of(codes)
             yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), pa.array(ids)], ["word", "n", "id"])
 
-    return words.select("word", "n").mapInArrow(run, "word string, n long, id long")
+    return mapped(words.select("word", "n"), run, "word string, n long, id long")
 
 
 def occupied(ids: DataFrame, bits: int) -> np.ndarray:
@@ -173,7 +173,7 @@ def reduced_pairs(words: DataFrame, symbols: int | None) -> DataFrame:
                     keep = (near > own[row]) & ((bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1)
                     yield pa.RecordBatch.from_arrays([pa.array(own[row[keep]]), pa.array(near[keep])], ["a", "b"])
 
-    return spread(single).select("word").mapInArrow(run, "a long, b long")
+    return mapped(spread(single).select("word"), run, "a long, b long")
 
 
 def level(words: DataFrame, symbols: int | None, bucket: int) -> tuple[DataFrame, DataFrame]:

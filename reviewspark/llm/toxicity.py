@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewspark.llm.common import stored
+from reviewspark.llm.common import mapped, stored
 
 # Categories before the last, with the seed words that mark their training labels.
 SEEDS = {
@@ -114,7 +114,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int, doc_id: str, te
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(found, pa.list_(pa.string()))], ["doc_id", "toxic", "features"])
 
     kind = picked.schema["doc_id"].dataType.simpleString()
-    made = picked.select("doc_id", "toxic", "text").mapInArrow(run, f"doc_id {kind}, toxic int, features array<string>")
+    made = mapped(picked.select("doc_id", "toxic", "text"), run, f"doc_id {kind}, toxic int, features array<string>")
     return stored(made.withColumn("fold", F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)).cast("int")), "toxicity-rows")
 
 
@@ -180,7 +180,7 @@ def score(docs: DataFrame, model, doc_id: str = "doc_id", text: str = "text", th
                 ["doc_id", *[f"p_{c}" for c in CATEGORIES], "toxic"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"p_{c} double" for c in CATEGORIES) + ", toxic boolean")
+    return mapped(rows, run, f"doc_id {kind}, " + ", ".join(f"p_{c} double" for c in CATEGORIES) + ", toxic boolean")
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -193,7 +193,7 @@ def clean_documents(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS,
             p = scorer.probabilities(b.column(b.schema.names.index(text)).cast(pa.string()).to_pylist())
             yield b.filter(pa.array(p[:, -1] < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
