@@ -205,12 +205,12 @@ def packed_anchors(rows: DataFrame, bits: int, heavy: int = HEAVY) -> DataFrame:
     return mapped(rows.select("rank", "text"), run, "block int, a binary, c binary, d binary, base long, ha binary, hc binary, hd binary")
 
 
-def judged(packed: DataFrame) -> DataFrame:
+def judged(packed: DataFrame, with_shared: bool = False) -> DataFrame:
     """What a block knows of its classes.
 
     kind 0: document ``d`` holds the contexts ``cs``, which an earlier document also holds; kind 1: class ``c`` of
-    anchor ``a``, first in document ``d``, has to be compared with other classes of its anchor; kind 2: heavy
-    class ``c`` is first in document ``d``.
+    anchor ``a``, first in document ``d``, has to be compared with other classes of its anchor, or is ``shared`` by
+    several documents and asked for as such; kind 2: heavy class ``c`` is first in document ``d``.
     """
     def run(key: tuple, table: pa.Table) -> pa.Table:
         take = lambda name, kind: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
@@ -239,6 +239,9 @@ def judged(packed: DataFrame) -> DataFrame:
             wanted = np.repeat((n > 1) & (np.minimum.reduceat(low, top) < np.maximum.reduceat(low, top)), n)
         else:
             wanted = np.zeros(0, bool)
+        shared = (np.maximum.reduceat(d, first) > low) | of_heavy if len(first) else wanted
+        if with_shared:
+            wanted = wanted | shared
         number = (np.int64(key[0].as_py()) << 32) | a[first].astype(np.int64)
         kinds = np.repeat(np.array([0, 1, 2], np.int8), [len(lists), wanted.sum(), of_heavy.sum()])
         none = np.zeros(len(lists), np.int64)
@@ -246,14 +249,15 @@ def judged(packed: DataFrame) -> DataFrame:
             "kind": pa.array(kinds), "d": pa.array(np.concatenate([ld[cut] if len(ld) else ld, low[wanted], low[of_heavy]])),
             "a": pa.array(np.concatenate([none, number[wanted], number[of_heavy]])),
             "c": pa.array(np.concatenate([none, c[first][wanted].astype(np.int64), c[first][of_heavy].astype(np.int64)])),
-            "cs": pa.array([*lists, *[None] * int(wanted.sum() + of_heavy.sum())], pa.binary())})
+            "cs": pa.array([*lists, *[None] * int(wanted.sum() + of_heavy.sum())], pa.binary()),
+            "shared": pa.array(np.concatenate([np.zeros(len(lists), bool), shared[wanted], of_heavy[of_heavy]]))})
 
-    return packed.groupBy("block").applyInArrow(run, "kind byte, d long, a long, c long, cs binary")
+    return packed.groupBy("block").applyInArrow(run, "kind byte, d long, a long, c long, cs binary, shared boolean")
 
 
 def contexts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(a, c, d, o, context): the bytes of the wanted classes, from their first documents; the anchor starts at ``o``."""
-    lists = wanted.groupBy(F.col("d").alias("rank")).agg(F.collect_list(F.struct("a", "c")).alias("wanted"))
+    """(a, c, d, o, context, shared): the bytes of the wanted classes, from their first documents; the anchor starts at ``o``."""
+    lists = wanted.groupBy(F.col("d").alias("rank")).agg(F.collect_list(F.struct("a", "c", "shared")).alias("wanted"))
     held = rows.join(small(wanted.select(F.col("d").alias("rank")).distinct(), SMALL_KEYS), "rank", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,22 +265,22 @@ def contexts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             texts = _bytes(b.column("text"))
             for some in _groups(texts):
                 of, place, _, c = anchors([texts[i] for i in some])
-                out: list[list] = [[] for _ in range(5)]
+                out: list[list] = [[] for _ in range(6)]
                 cuts = np.searchsorted(of, np.arange(len(some) + 1))
                 for k, i in enumerate(some):
                     lists = b.column("wanted")[i].values
-                    names, of_a = (lists.field(f).to_numpy(zero_copy_only=False) for f in ("c", "a"))
+                    names, of_a, shared = (lists.field(f).to_numpy(zero_copy_only=False) for f in ("c", "a", "shared"))
                     mine, first = np.unique(c[cuts[k]:cuts[k + 1]].view(np.int64), return_index=True)
                     hit, x, y = np.intersect1d(mine, names, return_indices=True)
                     where = place[cuts[k]:cuts[k + 1]][first[x]]
-                    for v, g, p in zip(hit.tolist(), of_a[y].tolist(), where.tolist()):
+                    for v, g, p, n in zip(hit.tolist(), of_a[y].tolist(), where.tolist(), shared[y].tolist()):
                         lo = max(0, p - REACH)
-                        for column, value in zip(out, (g, v, b.column("rank")[i], p - lo, texts[i][lo:p + LEAST])):
+                        for column, value in zip(out, (g, v, b.column("rank")[i].as_py(), p - lo, texts[i][lo:p + LEAST], n)):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (
-                    pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["a", "c", "d", "o", "context"])
+                    pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()))], ["a", "c", "d", "o", "context", "shared"])
 
-    made = mapped(held.join(lists, "rank").select("rank", "text", "wanted"), run, "a long, c long, d long, o int, context binary")
+    made = mapped(held.join(lists, "rank").select("rank", "text", "wanted"), run, "a long, c long, d long, o int, context binary, shared boolean")
     return made.dropDuplicates(["a", "c"])
 
 
@@ -366,7 +370,7 @@ def _of_groups(found: DataFrame, process, schema: str, names: list[str]) -> Data
             return pa.RecordBatch.from_arrays(made, names) if made is not None else None
 
         for b in batches:
-            held.extend(zip(*[b.column(n).to_pylist() for n in ("a", "c", "d", "o", "context")]))
+            held.extend(zip(*[b.column(n).to_pylist() for n in ("a", "c", "d", "o", "context", "shared")]))
             if len(held) >= CHUNK:
                 last = held[-1][0]
                 end = len(held)
@@ -387,7 +391,7 @@ def _of_groups(found: DataFrame, process, schema: str, names: list[str]) -> Data
             if out is not None:
                 yield out
 
-    dealt = found.select("a", "c", "d", "o", "context").repartition("a").sortWithinPartitions("a", "c")
+    dealt = found.select("a", "c", "d", "o", "context", "shared").repartition("a").sortWithinPartitions("a", "c")
     return mapped(dealt, run, schema)
 
 
@@ -412,12 +416,17 @@ def earlier_repeats(found: DataFrame) -> DataFrame:
     return _of_groups(found, process, "d long, c long, lo int, hi int", ["d", "c", "lo", "hi"])
 
 
-def split_groups(found: DataFrame) -> DataFrame:
-    """As ``earlier_repeats`` for anchors with very many contexts, string by string."""
+def _strings(found: DataFrame) -> DataFrame:
+    """Every string of ``LEAST`` bytes of the contexts, with its start counted from the anchor."""
     size = F.octet_length("context")
     starts = F.sequence(F.lit(0), F.least(F.col("o"), size - LEAST))
-    each = found.where(size >= LEAST).select("d", "c", "o", "context", F.explode(starts).alias("x"))
-    each = each.select("d", "c", (F.col("x") - F.col("o")).alias("lo"), F.sha2(F.substring("context", F.col("x") + 1, F.lit(LEAST)), 256).alias("string"))
+    each = found.where(size >= LEAST).select("a", "c", "d", "o", "shared", "context", F.explode(starts).alias("x"))
+    return each.select("a", "c", "d", "shared", (F.col("x") - F.col("o")).alias("lo"), F.substring("context", F.col("x") + 1, F.lit(LEAST)).alias("string"))
+
+
+def split_groups(found: DataFrame) -> DataFrame:
+    """As ``earlier_repeats`` for anchors with very many contexts, string by string."""
+    each = _strings(found)
     first = each.groupBy("string").agg(F.min("d").alias("low"), F.count(F.lit(1)).alias("n"))
     met = lookup_by_key(each, first, "string", "n", "inner").where("d > low")
     return met.select("d", "c", "lo", (F.col("lo") + LEAST).alias("hi"))
@@ -427,11 +436,11 @@ def _ranked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit(LAST)).alias("rank"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
 
 
-def _classes(rows: DataFrame, heavy: int) -> DataFrame:
+def _classes(rows: DataFrame, heavy: int, with_shared: bool = False) -> DataFrame:
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(3, int(np.ceil(np.log2(max(1, total * 2 / (REACH + 2) / BLOCK)))))
     while True:
-        made = stored(judged(packed_anchors(rows, bits, heavy)), "repeats-classes")
+        made = stored(judged(packed_anchors(rows, bits, heavy), with_shared), "repeats-classes")
         # the list of heavy classes is broadcast; where there are too many, only heavier ones are
         if made.where("kind = 2").limit(SMALL_KEYS + 1).count() <= SMALL_KEYS:
             return made
@@ -440,40 +449,63 @@ def _classes(rows: DataFrame, heavy: int) -> DataFrame:
 
 def _compared(rows: DataFrame, classes: DataFrame, group: int) -> tuple[DataFrame, DataFrame]:
     """Contexts of anchors with up to ``group`` classes, and of the others."""
-    wanted = classes.where("kind = 1").select("a", "c", "d")
+    wanted = classes.where("kind = 1").select("a", "c", "d", "shared")
     found = stored(contexts(rows, wanted), "repeats-contexts")
     many = small(found.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group).select("a"))
     return found.join(many, "a", "left_anti"), found.join(many, "a", "left_semi")
 
 
-def maximal_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", heavy: int = HEAVY) -> DataFrame:
-    """All occurrences of every maximal repeat around an anchor: a, repeat, length, c, d, lo.
+def class_members(classes: DataFrame) -> DataFrame:
+    """(c, d): the documents of every class, the first one too."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = [np.frombuffer(x, np.int64) for x in b.column("cs").to_pylist()]
+            d = b.column("d").to_numpy(zero_copy_only=False)
+            if lists:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)), pa.array(np.repeat(d, [len(x) for x in lists]))], ["c", "d"])
+
+    later = mapped(classes.where("kind = 0").select("d", "cs"), run, "c long, d long")
+    return classes.where("kind = 1").select("c", "d").union(later).distinct()
+
+
+def maximal_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group: int = GROUP) -> DataFrame:
+    """All occurrences of every maximal repeat around an anchor: a, repeat, length, c, lo, rank.
 
-    A repeat is a row per class of equal contexts that holds it: ``c`` names the class, ``d`` the rank (id) of its first
-    document, ``lo`` where the repeat starts, counted from the anchor. Classes whose contexts are whole
-    copies of each other are one row here; ``repeated_bytes`` applies them to all their members.
+    A longer string loses an occurrence. ``c`` is the class of contexts that the occurrence is in, ``lo`` where the
+    repeat starts, counted from the anchor, ``rank`` the document (its id, the largest number for null). Of
+    anchors with more than ``group`` classes the repeats are the strings of ``LEAST`` bytes.
     """
     rows = _ranked(docs, doc_id, text)
-    few, many = _compared(rows, _classes(rows, heavy), LAST)
+    # no class is heavy here: all members are listed
+    classes = _classes(rows, LAST, with_shared=True)
+    few, many = _compared(rows, classes, group)
 
-    def process(rows, group):
+    def process(rows, numbers):
+        # a class of several documents stands twice, so that what its members share is an interval
+        twice = [k for k, r in enumerate(rows) for _ in range(1 + r[5])]
+        rows, numbers = [rows[k] for k in twice], numbers[twice]
         texts = [r[4] for r in rows]
         a, c, d, o = (np.array([r[k] for r in rows]) for k in range(4))
-        tree = enhanced_suffixes(group, texts, o, d)
+        tree = enhanced_suffixes(numbers, texts, o, d)
         if tree is None:
             return None
         owner, start, depth, parent, leaf, _, diverse = tree
-        out: list[list] = [[] for _ in range(6)]
+        out: list[list] = [[] for _ in range(5)]
         at = leaf.copy()
         while (at > 0).any():  # every interval above a suffix, a bounded number
             for i in np.flatnonzero((at > 0) & diverse[at]):
                 k, n = owner[i], int(depth[at[i]])
-                for column, v in zip(out, (a[k], texts[k][start[i]:start[i] + n], n, c[k], d[k], start[i] - o[k])):
+                for column, v in zip(out, (a[k], texts[k][start[i]:start[i] + n], n, c[k], start[i] - o[k])):
                     column.append(v)
             at = np.where(at > 0, parent[at], 0)
-        return [pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int32()))]
-
-    return _of_groups(few, process, "a long, repeat binary, length int, c long, d long, lo int", ["a", "repeat", "length", "c", "d", "lo"])
+        return [pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int32()))]
+
+    found = _of_groups(few, process, "a long, repeat binary, length int, c long, lo int", ["a", "repeat", "length", "c", "lo"]).distinct()
+    # a string may hold several anchors, each with classes of its own
+    each = _strings(many).select("a", "c", "lo", F.struct("a", "string").alias("key"), "shared")
+    held = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bool_or("shared").alias("any")).where("n > 1 OR any")
+    split = lookup_by_key(each, held, "key", "n", "inner").select("a", F.col("key.string").alias("repeat"), F.lit(LEAST).alias("length"), "c", "lo")
+    return found.union(split).join(class_members(classes).withColumnRenamed("d", "rank"), "c")
 
 
 def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", heavy: int = HEAVY, group: int = GROUP) -> DataFrame:

@@ -115,22 +115,27 @@ def test_interval_tree():
         assert {frozenset(m) for m in got.values()} == want and len(got) == len(want)
 
 
-def test_maximal_repeats(spark):
-    """All occurrences, longest strings only: a byte more on either side would lose one of them."""
+@pytest.mark.parametrize("group", [4096, 2])
+def test_maximal_repeats(spark, group):
+    """All occurrences, also of copies; one byte more on a side loses one of them. Split anchors give strings of 50 bytes."""
     rng = random.Random(8)
     base, other = passage(rng, 60), passage(rng, 55)
-    texts = [f"{x}{s}{y}" for s in (base, other) for x, y in (("P", "Q"), ("R", "Q"), ("P", "S"))] + [base[2:58]]
-    got = repeats.maximal_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    texts = [f"{x}{s}{y}" for s in (base, other) for x, y in (("P", "Q"), ("R", "Q"), ("P", "S"))] + [base[2:58]] * 2 + ["Q" + base[5:] + "Q", passage(rng, 90)]
+    got = repeats.maximal_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), group=group).collect()
     found = defaultdict(set)
     for r in got:
-        found[bytes(r["repeat"]).decode()].add(r["d"])
+        found[bytes(r["repeat"]).decode()].add(r["rank"])
         assert r["length"] == len(r["repeat"]) >= 50
     for s, ids in found.items():
-        holders = [t for t in texts if s in t]
-        assert {texts[i] for i in ids} == set(holders) and len(holders) > 1
-        for grown in {t[t.index(s) - 1:t.index(s) + len(s)] for t in holders if t.index(s)}:
-            assert any(grown not in t for t in holders) or len(s) >= 50 + 1
-    assert any(other in s for s in found) and any(base[2:58] in s or s in base for s in found)
+        assert {i for i, t in enumerate(texts) if s in t} == ids and len(ids) > 1
+    if group == 2:
+        assert {len(s) for s in found} >= {50}
+        return
+    for s in (base, other, base[2:58], "P" + base, base + "Q", "P" + other, other + "Q", base[5:], base[5:58]):
+        assert s in found
+    for s, ids in found.items():  # a repeat that ends before its context does is maximal in all texts
+        if len(s) < 55:
+            assert all({i for i in ids if x + s in texts[i]} != ids for x in set("".join(texts)))
 
 
 def plain_words(rows):
