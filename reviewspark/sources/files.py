@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reviewspark import lexicons as lx
+from reviewspark.scale import small
 
 HEADER_BYTES = 65_536
 MAX_FILE_BYTES = 100 * 1024 * 1024
@@ -75,34 +78,189 @@ def with_roles(df: DataFrame, aliases=None) -> DataFrame:
 
 
 def number_rows(scan: DataFrame, first: int = 1, out: str = "row_number") -> DataFrame:
-    """Number the rows of each scanned file in file order.
+    """Number the rows of each scanned file in file order, where they stand: no row is moved or sorted.
 
-    A window over a whole file would sort one huge file in a single task.
-    Rows are numbered inside their split instead, and the splits' counts, one
-    small row per split, give the offset.
+    A scan hands out the rows of a split in file order, and ``monotonically_increasing_id`` counts them in that
+    order. The first id and the count of every split, one small row each, give its offset in the file.
     """
     base = scan.select(
         *[c for c in scan.columns if c != "_metadata"], F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_seq"),
     )
-    sizes = base.groupBy("_path", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = base.groupBy("_path", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_from"))
     before = W.partitionBy("_path").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select("_path", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = W.partitionBy("_path", "_block").orderBy("_seq")
-    return (
-        base.withColumn("_i", F.row_number().over(inside))
-        .join(offsets, ["_path", "_block"])
-        .withColumn(out, F.col("_offset") + F.col("_i") + F.lit(first - 1))
-        .drop("_block", "_seq", "_offset", "_i")
-    )
+    splits = sizes.select("_path", "_block", "_n", "_from", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = F.col("_seq") - F.col("_from")
+    counted = F.when((inside >= 0) & (inside < F.col("_n")), F.col("_offset") + inside + F.lit(first)).otherwise(
+        F.raise_error(F.lit("the files changed while they were read")).cast("long"))
+    return base.join(small(splits), ["_path", "_block"]).withColumn(out, counted).drop("_block", "_seq", "_n", "_from", "_offset")
+
+
+def line_states(line: Column, delimiter: str) -> tuple[Column, Column]:
+    """(after, after_quoted): whether a line ends inside a quoted field, begun at a record's start or inside one.
+
+    A field is quoted if it begins with a quote; two quotes in it are one, one quote ends it. A quote inside an
+    unquoted field is a character like any other.
+    """
+    pieces = F.split(line, r"\Q" + delimiter + r"\E", -1)
+
+    def closes(part):
+        return F.contains(F.replace(part, F.lit('""'), F.lit("")), F.lit('"'))
+
+    def step(inside, piece):
+        opened = ~inside & piece.startswith('"')
+        return F.when(opened, ~closes(F.substring(piece, F.lit(2), F.length(piece)))).otherwise(inside & ~closes(piece))
+
+    quoted = F.contains(line, F.lit('"'))
+    after = [F.when(quoted, F.aggregate(pieces, F.lit(s), step)).otherwise(F.lit(s)) for s in (False, True)]
+    return after[0], after[1]
+
+
+def _walk(after: np.ndarray, after_quoted: np.ndarray, inside: bool) -> tuple[np.ndarray, bool]:
+    """The state at the start of every line, and behind the last."""
+    states = np.empty(len(after), bool)
+    at = 0
+    for i in np.flatnonzero(after | ~after_quoted).tolist():  # all other lines keep the state
+        states[at:i + 1] = inside
+        inside, at = bool(after_quoted[i] if inside else after[i]), i + 1
+    states[at:] = inside
+    return states, inside
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """((path, block), rows) in the order of the scan, cut where the split changes."""
+    for b in batches:
+        keys = list(zip(b.column("_path").to_pylist(), b.column("_block").to_pylist()))
+        lo = 0
+        for i in range(1, len(keys) + 1):
+            if i == len(keys) or keys[i] != keys[lo]:
+                yield keys[lo], b.slice(lo, i - lo)
+                lo = i
+
+
+def _flags(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(rows.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("after", "after_quoted", "blank"))
+
+
+def _split_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per split: the state behind it and the records that begin in it, for both states it may begin in."""
+    def row(key, ends, counts):
+        return pa.RecordBatch.from_pydict({"_path": [key[0]], "_block": [key[1]], "end0": [ends[0]], "end1": [ends[1]], "n0": [counts[0]], "n1": [counts[1]]})
+
+    now, ends, counts = None, [False, True], [0, 0]
+    for key, rows in _runs(batches):
+        if key != now:
+            if now is not None:
+                yield row(now, ends, counts)
+            now, ends, counts = key, [False, True], [0, 0]
+        after, after_quoted, blank = _flags(rows)
+        for s in (0, 1):
+            states, ends[s] = _walk(after, after_quoted, ends[s])
+            counts[s] += int((~states & ~blank).sum())
+    if now is not None:
+        yield row(now, ends, counts)
+
+
+def _split_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of a split, numbered in the file; ``whole`` is false for parts of a record that a split boundary cuts."""
+    now, inside, number, held, cut = None, False, 0, [], False
+
+    def flush(out, whole):
+        if held:
+            for column, v in zip(out, (now[0], now[1], number, b"\n".join(held), whole)):
+                column.append(v)
+            held.clear()
+
+    for key, rows in _runs(batches):
+        out: list[list] = [[] for _ in range(5)]
+        if key != now:
+            flush(out, not inside and not cut)
+            now, inside, number = key, rows.column("inside")[0].as_py(), rows.column("before")[0].as_py()
+            cut = inside
+        after, after_quoted, blank = _flags(rows)
+        states, inside = _walk(after, after_quoted, inside)
+        for begins, empty, line in zip((~states).tolist(), blank.tolist(), rows.column("value").to_pylist()):
+            if begins:
+                flush(out, not cut)
+                cut = False
+                if empty:
+                    continue
+                number += 1
+            held.append(line)
+        if not inside:
+            flush(out, not cut)
+            cut = False
+        yield _records(out)
+    out = [[] for _ in range(5)]
+    flush(out, False)
+    yield _records(out)
+
+
+def _records(out: list[list]) -> pa.RecordBatch:
+    types = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types)], ["_path", "_block", "number", "record", "whole"])
+
+
+def read_csv_records(spark: SparkSession, path, delimiter: str = ",") -> DataFrame:
+    """(_path, number, record): the records of CSV files of any size, line breaks in quotes included.
+
+    A file is split like any text file. Whether a split begins inside a quoted field follows from a scan over
+    the splits before it: every split is a map from the state before it to the state behind it, and the maps
+    of a file, one small row per split, are composed in order. Every task then puts the lines of its split
+    together; only the few records that a split boundary cuts are joined from parts. Empty lines are no
+    records; an open quote at the end of a file ends there.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.regexp_replace("value", r"\r$", "").alias("line"), F.col("value").cast("binary").alias("value"),
+        F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"))
+    # bytes beyond ASCII do not matter to quotes and delimiters
+    after, after_quoted = line_states(F.col("line"), delimiter)
+    flags = [after.alias("after"), after_quoted.alias("after_quoted"), (F.length("line") == 0).alias("blank")]
+    maps = lines.select("_path", "_block", *flags).mapInArrow(_split_maps, "_path string, _block long, end0 boolean, end1 boolean, n0 long, n1 long")
+    # a row per split of a file, some thousands for the largest files
+    listed = maps.groupBy("_path").agg(F.array_sort(F.collect_list(F.struct("_block", "end0", "end1", "n0", "n1"))).alias("splits"))
+    start = F.struct(F.lit(False).alias("inside"), F.lit(0).cast("long").alias("before"), F.expr("cast(array() as array<struct<_block:bigint,inside:boolean,before:bigint>>)").alias("done"))
+
+    def step(acc, s):
+        return F.struct(
+            F.when(acc["inside"], s["end1"]).otherwise(s["end0"]).alias("inside"), (acc["before"] + F.when(acc["inside"], s["n1"]).otherwise(s["n0"])).alias("before"),
+            F.concat(acc["done"], F.array(F.struct(s["_block"].alias("_block"), acc["inside"].alias("inside"), acc["before"].alias("before")))).alias("done"))
+
+    placed = listed.select("_path", F.explode(F.aggregate("splits", start, step)["done"]).alias("s")).select("_path", "s.*")
+    # broadcast: a row per split, so that the lines stay in the order of the scan
+    known = lines.select("value", "_path", "_block", *flags).join(F.broadcast(placed), ["_path", "_block"])
+    made = known.select("_path", "_block", "value", "after", "after_quoted", "blank", "inside", "before").mapInArrow(
+        _split_records, "_path string, _block long, number long, record binary, whole boolean")
+    parts = made.where("not whole").groupBy("_path", "number").agg(F.array_sort(F.collect_list(F.struct("_block", "record"))).alias("p"))
+    glue = F.aggregate(F.slice("p", 2, F.size("p")), F.get("p", F.lit(0))["record"], lambda acc, x: F.concat(acc, F.lit(b"\n"), x["record"]))
+    return made.where("whole").select("_path", "number", "record").union(parts.select("_path", "number", glue.alias("record")))
+
+
+def decoded(value: Column, encoding: str) -> Column:
+    """Raw bytes of a text file as a string; the reader has no Windows-1252, so its 32 own code points are mapped."""
+    if encoding == "cp1252":
+        return F.translate(F.decode(value, "ISO-8859-1"), "".join(_C1), _C1_AS_CP1252)
+    return F.decode(value, SPARK_CHARSETS.get(encoding, encoding)) if encoding != "utf-8" else value.cast("string")
 
 
 def read_reviews_csv(spark: SparkSession, path, delimiter: str = ",", encoding: str = "utf-8", aliases=None, multiline: bool = True) -> DataFrame:
-    """Role-mapped rows with ``row_number`` from 2 (the header is line 1)."""
-    raw = (
+    """Role-mapped rows with ``row_number`` from 2 (the header is line 1).
+
+    ``multiline`` reads line breaks in quoted fields, from files of any size by many tasks.
+    """
+    reader = (
         spark.read.option("header", True).option("sep", delimiter).option("quote", '"').option("escape", '"')
-        .option("multiLine", multiline).option("encoding", SPARK_CHARSETS.get(encoding, encoding)).csv(path)
+        .option("multiLine", multiline).option("encoding", SPARK_CHARSETS.get(encoding, encoding))
     )
+    raw = reader.csv(path)
+    if multiline:
+        own = raw.columns
+        schema = ", ".join(f"c{i} string" for i in range(len(own)))
+        records = read_csv_records(spark, path, delimiter).where("number > 1")
+        cells = F.from_csv(F.regexp_replace(decoded(F.col("record"), encoding), r"\r$", ""), schema, {"sep": delimiter, "quote": '"', "escape": '"', "maxCharsPerColumn": "-1"})
+        split = records.select("_path", F.col("number").alias("_row_number"), cells.alias("cells"))
+        numbered = split.select(*[F.col(f"cells.c{i}").alias(c) for i, c in enumerate(own)], "_path", "_row_number")
+        return with_roles(numbered, aliases).withColumnsRenamed({"_row_number": "row_number", "_path": "path"})
     if encoding == "cp1252":
         raw = raw.select(*[F.translate(F.col(f"`{c}`"), "".join(_C1), _C1_AS_CP1252).alias(c) for c in raw.columns], "_metadata")
     numbered = number_rows(raw, first=2)
@@ -140,9 +298,9 @@ def repair_fields(fields: Column, width: int, review_index: int) -> Column:
     return F.when(n > width, F.concat(head, F.array(joined), tail)).otherwise(fields)
 
 
-def read_wrapped_export(spark: SparkSession, path, aliases=None) -> DataFrame:
-    """Exports whose every line is one quoted CSV record followed by ``;;;``."""
-    lines = number_rows(spark.read.text(path), first=1)
+def read_wrapped_export(spark: SparkSession, path, aliases=None, encoding: str = "utf-8") -> DataFrame:
+    """Exports whose every line is one quoted CSV record followed by ``;;;``, in their own encoding."""
+    lines = number_rows(spark.read.text(path), first=1).withColumn("value", decoded(F.col("value").cast("binary"), encoding))
     fields = lines.where(F.trim("value") != "").select("_path", "row_number", csv_fields(unwrap_line(F.col("value"))).alias("f"))
     header = fields.where("row_number = 1").select("f").first()["f"]
     columns = [c.strip().lstrip("\ufeff") for c in header]
@@ -162,7 +320,7 @@ def read_review_files(spark: SparkSession, path, aliases=None) -> DataFrame:
     out = None
     for g in groups.orderBy(*keys).collect():
         if g["source_format"] == "wrapped_voc_export":
-            part = read_wrapped_export(spark, g["paths"], aliases).drop("malformed")
+            part = read_wrapped_export(spark, g["paths"], aliases, g["encoding"]).drop("malformed")
         else:
             part = read_reviews_csv(spark, g["paths"], g["delimiter"], g["encoding"], aliases)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)

@@ -54,3 +54,62 @@ def test_late_encodings(spark, tmp_path):
     rows = read_review_files(spark, path)
     assert rows.count() == 1 + 298 * 2 + 298 * 20 + 1 + 298 * 2 + 2 + 298 * 20 + 1 + 298 + 1 + 298 + 1
     assert rows.where("review = 'café €'").count() == 4 and rows.where("contains(review, '\ufffd')").count() == 0
+
+
+def test_wrapped_export_in_its_encoding(spark, tmp_path):
+    """A wrapped export is read in the encoding that was found for it, whatever stands beside it."""
+    line = '"{},""{}"",Paris";;;\n'
+    (tmp_path / "cp.csv").write_bytes(('"id,""Isi Review"",kota";;;\n' + line.format(1, "café enak €") + line.format(2, "plain")).encode("cp1252"))
+    (tmp_path / "latin.csv").write_bytes('"id,""Isi Review"",kota";;;\n'.encode() + b'"3,""caf\xe9 \x81"",Paris";;;\n')
+    (tmp_path / "utf.csv").write_bytes(('"id,""Isi Review"",kota";;;\n' + line.format(4, "café €")).encode())
+    rows = {r["customer_id"]: r["review"] for r in read_review_files(spark, str(tmp_path / "*.csv")).collect()}
+    assert rows == {"1": "café enak €", "2": "plain", "3": "café \x81", "4": "café €"}
+
+
+@pytest.fixture
+def tiny_splits(spark):
+    """Files are cut into splits of some dozen bytes, so that records and quotes cross many of them."""
+    names = {"spark.sql.files.maxPartitionBytes": "37", "spark.sql.files.openCostInBytes": "1"}
+    old = {n: spark.conf.get(n) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    yield
+    for n, v in old.items():
+        spark.conf.set(n, v)
+
+
+def test_line_breaks_in_quotes(spark, tmp_path, tiny_splits):
+    """Every record, with its number, as one reader of the whole file gives them; a file of many splits is read by many tasks."""
+    import csv
+    import io
+    import random
+
+    from reviewspark.sources.files import read_csv_records, read_reviews_csv
+    rng = random.Random(3)
+    pieces = ["", "a", "enak\nsekali", 'say "x"', "a,b", "\r\n", '""', "é€", "x" * 90, '"\n"', ",\n,", "plain words", "5\" pipe"]
+    for n, end in enumerate(("\n", "\r\n")):
+        rows = [["review", "city", "note"]] + [["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 4))) or "r" for _ in range(3)] for _ in range(60)]
+        text = io.StringIO()
+        csv.writer(text, lineterminator=end).writerows(rows)
+        body = text.getvalue().replace(f"{end}plain words,", f"{end}{end}plain words,")
+        body += f'a 5" pipe,b "quoted" c,d{end}'  # quotes inside unquoted fields
+        path = tmp_path / f"{n}.csv"
+        path.write_bytes(body.encode())
+        want = [r for r in csv.reader(io.StringIO(body, newline="")) if r]
+        records = read_csv_records(spark, str(path)).orderBy("number").collect()
+        assert [r["number"] for r in records] == list(range(1, len(want) + 1))
+        assert [next(csv.reader(io.StringIO(bytes(r["record"]).decode(), newline=""))) for r in records] == want
+        assert read_csv_records(spark, str(path)).rdd.getNumPartitions() > 20
+        got = read_reviews_csv(spark, str(path)).orderBy("row_number").collect()
+        assert [(r["row_number"], r["review"], r["original_fields"]["note"]) for r in got] == [(i, r[0], r[2]) for i, r in enumerate(want[1:], 2)]
+
+
+def test_row_numbers_stay_in_place(spark, tmp_path, tiny_splits):
+    """Numbers in file order over many splits, without an exchange of the rows."""
+    from reviewspark.sources.files import number_rows
+    for name, n in (("a", 300), ("b", 1), ("c", 57)):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name}{i}\n" for i in range(1, n + 1)))
+    numbered = number_rows(spark.read.text(str(tmp_path)))
+    assert all(r["value"] == f"{r['_path'][-5]}{r['row_number']}" for r in numbered.collect()) and numbered.count() == 358
+    plan = numbered._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning(_path") == 2
