@@ -12,12 +12,13 @@ from reviewspark.registry import query, table
 SQL_WORDS = "len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))"
 
 SQL_MIX = f"""
-WITH d AS (
-  SELECT doc_id, coalesce('s' || source, 't') AS gkey, {SQL_WORDS} AS size,
-    -ln((CAST(('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13)) AS UBIGINT)::DOUBLE + 0.5) / 4503599627370496.0)
-      / (0.1::DOUBLE + CASE WHEN length(coalesce(text, '')) > 0 THEN
-           length(regexp_replace(text, '[\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]', '', 'g'))::DOUBLE / length(text) ELSE 0.0::DOUBLE END) AS draw
-  FROM documents
+WITH q AS (
+  SELECT doc_id, max(quality) AS quality FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id
+), d AS (
+  SELECT d.doc_id, coalesce('s' || source, 't') AS gkey, {SQL_WORDS} AS size,
+    -ln((CAST(('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 13)) AS UBIGINT)::DOUBLE + 0.5) / 4503599627370496.0)
+      / CASE WHEN quality = 0 THEN 0.1::DOUBLE WHEN quality = 1 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS draw
+  FROM documents d LEFT JOIN q ON d.doc_id = q.doc_id
 ), s AS (
   SELECT gkey, source_size, w, 3 * source_size AS cap,
     (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER before, 0))::DOUBLE / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level
@@ -30,19 +31,26 @@ WITH d AS (
 ), e AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t
 ), k AS (
-  SELECT d.gkey, draw, sum(sum(size)) OVER (PARTITION BY d.gkey ORDER BY draw) AS upto, any_value(target - epochs * source_size) AS rest
+  SELECT d.gkey, draw, count(*) AS n, any_value(size) AS each, sum(sum(size)) OVER (PARTITION BY d.gkey ORDER BY draw) - sum(size) AS before,
+    any_value(target - epochs * source_size) AS rest
   FROM d JOIN e ON d.gkey = e.gkey GROUP BY d.gkey, draw
+), p AS (
+  SELECT *, unnest([fits, least(n, fits + 1)]) AS part FROM (
+    SELECT *, CASE WHEN each > 0 THEN greatest(0, least(n, floor((rest - before) / each)))::BIGINT ELSE n END AS fits FROM k)
 ), c AS (
-  SELECT gkey, arg_min(draw, (abs(upto - rest), draw)) AS cut, min(abs(upto - rest)) AS miss, any_value(rest) AS rest FROM k GROUP BY gkey
+  SELECT gkey, arg_min((draw, part), (abs(before + part * each - rest), draw, part)) AS cut FROM p GROUP BY gkey
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY gkey, draw) AS no FROM d
 )
-SELECT doc_id, d.size::BIGINT AS size, source_size, target,
-  (d.size * (epochs + CASE WHEN abs(rest) > miss AND draw <= cut THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM d JOIN e ON d.gkey = e.gkey JOIN c ON d.gkey = c.gkey"""
+SELECT doc_id, r.size::BIGINT AS size, source_size, target,
+  (r.size * (epochs + CASE WHEN draw < cut[1] OR (draw = cut[1] AND no <= cut[2]) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM r JOIN e ON r.gkey = e.gkey JOIN c ON r.gkey = c.gkey"""
 
 
 @query("op1_source_mix", SQL_MIX)
 def source_mix(spark: SparkSession, sf: str) -> DataFrame:
-    return mixing.mix(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    docs = mixing.with_quality(table(spark, sf, "documents"), table(spark, sf, "labels"), "_quality")
+    return mixing.mix(docs, weight=mixing.labelled_weight(docs["_quality"])).select("doc_id", "size", "source_size", "target", "taken")
 
 
 @query("op3_hypergeometric_shards")

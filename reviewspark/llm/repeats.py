@@ -562,15 +562,15 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["rank", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     schema = "rank long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    # texts without a verdict stay where they are
+    keys = small(verdicts.select("rank"), SMALL_KEYS)
+    touched = rows.join(keys, "rank", "left_semi").join(verdicts, "rank").select("rank", "text", "cs", "parts")
+    others = rows.join(keys, "rank", "left_anti")
     if len(order):
-        touched = rows.join(verdicts, "rank", "left")
-        untouched = None
+        alone = others.select("rank", "text", *[F.lit(None).cast(verdicts.schema[c].dataType).alias(c) for c in ("cs", "parts")])
+        out = mapped(touched, run, schema).union(mapped(alone, run, schema))
     else:
-        keys = small(verdicts.select("rank"), SMALL_KEYS)
-        touched = rows.join(keys, "rank", "left_semi").join(verdicts, "rank")
-        untouched = rows.join(keys, "rank", "left_anti").select(
+        out = mapped(touched, run, schema).union(others.select(
             "rank", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
-            F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
-    out = mapped(touched.select("rank", "text", "cs", "parts"), run, schema)
-    out = out.union(untouched) if untouched is not None else out
+            F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256")))
     return out.select(F.when(F.col("rank") != LAST, F.col("rank")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -1,9 +1,9 @@
 """Secret scan over a trigram inverted index.
 
-Each rule is a regular expression. From its mandatory literals follows a Boolean query over trigrams
-(any of these literals, each meaning all of its trigrams); the index lists for every trigram the rows
-that hold it, the postings of a query are intersected, and only candidates are verified with the
-regular expression. A rule without a mandatory trigram has no query and scans every text.
+Each rule is a regular expression. A Boolean query over trigrams is derived from its syntax tree
+(``trigram_query``); the index lists for every trigram that some query asks for the rows that hold it, the
+postings of a query are intersected, and only candidates are verified with the regular expression. A rule
+without a mandatory trigram has no query and scans every text.
 
 Defined results: a null text counts as empty; rows without a match have an empty span list; repeated
 rows give repeated results; spans are code points, end exclusive, ordered by start, then by the order
@@ -19,15 +19,13 @@ from pyspark.sql import functions as F
 
 from reviewspark.functions.spans import place
 from reviewspark.llm.common import stored
+from reviewspark.llm.trigram_query import trigram_query
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``literals``: alternatives, each a tuple of strings that a match must hold (ASCII case aside)."""
-
     kind: str
     pattern: str
-    literals: tuple[tuple[str, ...], ...] = ()
     #: group and its least length, in characters; shorter matches are dropped
     group: int = 0
     least: int = 1
@@ -35,27 +33,20 @@ class Rule:
 
 # The base kinds, and two kinds that this scan adds.
 BASE_RULES = (
-    Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
-         (("password",), ("passwd",), ("secret",), ("token",), ("api", "key")), 2, 6),
-    Rule("access", r"AKIA[A-Z0-9]+", (("AKIA",),), 0, 20),
-    Rule("hex", r"[0-9a-f]{24,}", (), 0, 24),
+    Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
+    Rule("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 ADDED_RULES = (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", (("-----BEGIN ", "PRIVATE KEY-----"),)),
-    Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}", (("ghp_",), ("gho_",), ("ghu_",), ("ghs_",), ("ghr_",))),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
 )
 RULES = BASE_RULES + ADDED_RULES
 
 
-def trigrams(literal: str) -> list[str]:
-    low = literal.lower()
-    return [low[i:i + 3] for i in range(len(low) - 2)]
-
-
 def rule_query(rule: Rule) -> list[list[str]]:
-    """Alternatives of trigrams that must all occur; empty if some alternative has none (scan fully)."""
-    found = [sorted({t for literal in alternative for t in trigrams(literal)}) for alternative in rule.literals]
-    return found if found and all(found) else []
+    """Alternatives of trigrams that must all occur; empty if nothing must (scan fully)."""
+    return trigram_query(rule.pattern)
 
 
 def query_trigrams(rules) -> list[str]:
