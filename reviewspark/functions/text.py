@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from reviewspark import lexicons as lx
+from reviewspark.scale import let
 
 ASCII = r"^[\x00-\x7F]*$"
 
@@ -262,15 +263,15 @@ def sentence_right(text: Column, end: Column) -> Column:
 def negation_scope(text: Column, start: Column, end: Column, boundary: str = lx.NEGATION_BOUNDARY, words: str = lx.NEGATION_WORDS) -> Column:
     """Opinion-local negation: struct(negated, scope_start, scope_end, terms)."""
     lo = F.greatest(F.lit(0), start - 32)
-    prefix = F.substring(text, lo + 1, start - lo)
-    kept = F.element_at(F.split(prefix, "(?Ui)" + boundary, -1), -1)
-    from_ = start - F.length(kept)
-    scope = F.substring(text, from_ + 1, end - from_)
-    terms = F.regexp_extract_all(scope, F.lit("(?Ui)" + words), F.lit(0))
-    hit = F.size(terms) > 0
-    return F.struct(
-        hit.alias("negated"), F.when(hit, from_).alias("scope_start"), F.when(hit, end).alias("scope_end"), terms.alias("terms")
-    )
+    kept = F.length(F.element_at(F.split(F.substring(text, lo + 1, start - lo), "(?Ui)" + boundary, -1), -1))
+
+    def of(from_):
+        terms = F.regexp_extract_all(F.substring(text, from_ + 1, end - from_), F.lit("(?Ui)" + words), F.lit(0))
+        return let(terms, lambda t: F.struct(
+            (F.size(t) > 0).alias("negated"), F.when(F.size(t) > 0, from_).alias("scope_start"), F.when(F.size(t) > 0, end).alias("scope_end"), t.alias("terms")))
+
+    # each step is evaluated once, also inside a lambda
+    return let(start - kept, of)
 
 
 def any_contains(text: Column, words: Sequence[str]) -> Column:

@@ -10,29 +10,42 @@ from pyspark.sql import functions as F
 
 from reviewspark import lexicons as lx
 from reviewspark.functions import text as tx
-from reviewspark.functions.spans import gap_text, overlaps
+from reviewspark.functions.spans import find_spans, gap_text, overlaps
 from reviewspark.operators.spans import head_key
 from reviewspark.scale import let
 
 WHITESPACE = " \t\n\r\x0b\x0c"
+#: Characters read before a span.
+NEAR = 160
 COORDINATORS = ["dan", "and", "serta", "&", "と", "و"]
 
 
 def coordination_window(text: Column, start: Column, words: Sequence[str] = tuple(COORDINATORS)) -> Column:
     """Where an earlier aspect must end to be coordinated with one that starts here: struct(lo, hi).
 
-    Reads backwards from the aspect, so a long review is not scanned per span.
+    Reads backwards from the aspect, so a long review is not scanned per span; only behind a very long
+    run of blanks all of the text before it.
     """
-    before = F.rtrim(F.substring(text, F.lit(1), start), F.lit(WHITESPACE))
-    low = F.lower(before)
-    out = None
-    for w in words:
-        hi = F.length(before) - len(w)
-        lo = F.length(F.rtrim(F.substring(before, F.lit(1), hi), F.lit(WHITESPACE)))
-        hit = low.endswith(w)
-        value = F.struct(lo.alias("lo"), hi.alias("hi"))
-        out = F.when(hit, value) if out is None else out.when(hit, value)
-    return out
+    def of(v):
+        before, from_ = v["before"], v["from"]
+        out = None
+        for w in words:
+            hi = F.length(before) - len(w)
+            lo = F.length(F.rtrim(F.substring(before, F.lit(1), hi), F.lit(WHITESPACE)))
+            value = F.struct((from_ + lo).alias("lo"), (from_ + hi).alias("hi"))
+            out = F.when(v["low"].endswith(w), value) if out is None else out.when(v["low"].endswith(w), value)
+        return out
+
+    def read(from_):
+        before = F.rtrim(F.substring(text, from_ + 1, start - from_), F.lit(WHITESPACE))
+        return let(before, lambda b: F.struct(b.alias("before"), F.lower(b).alias("low"), from_.alias("from")))
+
+    longest = max(map(len, words))
+    near = let(F.greatest(F.lit(0), start - NEAR), read)
+    # what is left must show the coordinator and something before it
+    short = let(near, lambda v: F.when((v["from"] == 0) | (F.length(F.rtrim(F.substring(v["before"], F.lit(1), F.length(v["before"]) - longest), F.lit(WHITESPACE))) > 0), v).otherwise(
+        let(F.lit(0), read)))
+    return let(short, of)
 
 
 def coordinated(a_start: Column, a_end: Column, a_win: Column, b_start: Column, b_end: Column, b_win: Column) -> Column:
@@ -42,45 +55,89 @@ def coordinated(a_start: Column, a_end: Column, a_win: Column, b_start: Column,
     return F.coalesce(right_b, F.lit(False)) | F.coalesce(right_a, F.lit(False))
 
 
+def lower_bound(points: Column, value: Column) -> Column:
+    """How many of the ascending ``points`` are below ``value``, by halving."""
+    def step(acc, _):
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        less = (acc["lo"] < acc["hi"]) & (F.get(points, mid) < value)
+        return F.struct(F.when(less, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(less, acc["hi"]).otherwise(F.when(acc["lo"] < acc["hi"], mid).otherwise(acc["hi"])).alias("hi"))
+
+    steps = F.array_repeat(F.lit(0), F.ceil(F.log2(F.size(points) + 1)).cast("int"))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(points).alias("hi")), step)["lo"]
+
+
+def windows(low: Column, high: Column, points: Column) -> Column:
+    """For each i the points between ``low[i]`` and ``high[i]``: array<struct<at,n>>, the first one's place and their number.
+
+    ``points`` ascend; two binary searches per i.
+    """
+    return let(points, lambda p: F.zip_with(low, high, lambda a, b: let(lower_bound(p, a), lambda at: F.struct(
+        at.alias("at"), F.greatest(F.lit(0), lower_bound(p, b + 1) - at).alias("n")))))
+
+
+def by_start(spans: Column) -> Column:
+    return F.array_sort(spans, lambda x, y: F.when(x["start"] != y["start"], x["start"] - y["start"]).otherwise(x["end"] - y["end"]).cast("int"))
+
+
 def candidate_pairs(docs: DataFrame, key: str = "doc_id", threshold: float = 0.1, barrier: str = lx.PAIR_BARRIER, budget: int | None = None,
                     coordinators: Sequence[str] = tuple(COORDINATORS), negation: tuple[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(pairs, per-review diagnostics) from rows with text, aspects[], opinions[].
 
-    The heuristic strength is .5 / (1 + distance / 100), so a pair below the
-    threshold can be ruled out by distance alone: only opinions within that
-    reach are paired with an aspect, and neither all pairs of a review nor a
-    join is ever produced.  ``budget`` keeps the nearest pairs of a review and
-    reports how many were skipped.
+    The heuristic strength is .5 / (1 + distance / 100), so a pair below the threshold can be ruled out by
+    distance alone. Both lists are sorted by offset, a binary search gives the opinions within reach of every
+    aspect, and only these are paired. Barriers are found once per review: behind every span the next one, so
+    that a pair is blocked if the next barrier behind its first span ends before its second. Texts are read once
+    per span. ``budget`` keeps the nearest pairs of a review and reports how many were skipped.
     """
     reach = int(round(100 * (0.5 / threshold - 1) + 1e-9))
     text = F.col("text")
+    pattern = "(?Ui)" + barrier
     bound, words = negation or (lx.NEGATION_BOUNDARY, lx.NEGATION_WORDS)
 
-    def pairs_of(a):
-        near = F.filter("opinions", lambda o: F.abs(a["start"] - o["start"]) <= reach)
-        return F.transform(near, lambda o: F.struct(
-            F.abs(a["start"] - o["start"]).alias("distance"), a.alias("a"), o.alias("o"), overlaps(a["start"], a["end"], o["start"], o["end"]).alias("overlap"),
-            gap_text(text, a["start"], a["end"], o["start"], o["end"]).rlike("(?Ui)" + barrier).alias("blocked"),
-        ))
-
-    ranked = F.array_sort(F.transform(F.flatten(F.transform("aspects", pairs_of)), lambda p: F.struct(
-        p["distance"].alias("d"), p["a"]["start"].alias("s1"), p["a"]["end"].alias("e1"), p["o"]["start"].alias("s2"), p["o"]["end"].alias("e2"), p.alias("p"))))
-    taken = ranked if budget is None else F.slice(ranked, 1, budget)
-    total = F.size("aspects").cast("bigint") * F.size("opinions")
-    base = docs.where((F.size("aspects") > 0) & (F.size("opinions") > 0)).select(key, "text", total.alias("proposed"), taken.alias("_pairs"))
+    def around(s, fn):
+        """The span's text with a character on either side, read once."""
+        return let(F.substring(text, F.greatest(s["start"], F.lit(1)), s["end"] - F.greatest(s["start"], F.lit(1)) + 2), fn)
+
+    def read(v, spans, extra):
+        """Spans with the end of the next barrier and what is read from the text around them."""
+        # an offset is cut if it is inside a word, where a pattern sees another word end than in the gap alone
+        return F.transform(spans, lambda s: around(s, lambda t: F.struct(
+            s["start"].alias("start"), s["end"].alias("end"), s.alias("span"), F.substring(t, F.when(s["start"] > 0, F.lit(2)).otherwise(F.lit(1)), s["end"] - s["start"]).alias("term"),
+            F.get(v["barriers"], lower_bound(v["starts"], s["end"]))["end"].alias("barrier"),
+            ((F.length(t) > s["end"] - F.greatest(s["start"], F.lit(1)) + 1) & t.rlike(r"(?U)\w\w\z")).alias("cut_end"),
+            ((s["start"] > 0) & t.rlike(r"(?U)\A\w\w")).alias("cut_start"), *extra(s))))
+
+    def pair(a, o):
+        first = a["end"] <= o["start"]
+        next_ = F.when(first, a["barrier"]).otherwise(o["barrier"])
+        seam = F.when(first, a["cut_end"] | o["cut_start"]).otherwise(o["cut_end"] | a["cut_start"])
+        apart = ~overlaps(a["start"], a["end"], o["start"], o["end"])
+        blocked = F.when(seam, gap_text(text, a["start"], a["end"], o["start"], o["end"]).rlike(pattern)).otherwise(
+            F.coalesce(next_ <= F.when(first, o["start"]).otherwise(a["start"]), F.lit(False)))
+        return F.struct(F.abs(a["start"] - o["start"]).alias("distance"), a.alias("a"), o.alias("o"), (~apart).alias("overlap"), (apart & blocked).alias("blocked"))
+
+    def near(v):
+        return windows(F.transform(v["aspects"], lambda s: s["start"] - reach), F.transform(v["aspects"], lambda s: s["start"] + reach), F.transform(v["opinions"], lambda s: s["start"]))
+
+    # every step is bound to a lambda variable: a column that is used inside a lambda would be evaluated again for each element
+    pairs = let(find_spans(text, pattern), lambda m: let(F.struct(
+        by_start(F.col("aspects")).alias("aspects"), by_start(F.col("opinions")).alias("opinions"), m.alias("barriers"), F.transform(m, lambda x: x["start"]).alias("starts")),
+        lambda v: let(F.struct(
+            read(v, v["aspects"], lambda s: [coordination_window(text, s["start"], coordinators).alias("coord")]).alias("as"),
+            read(v, v["opinions"], lambda s: [tx.negation_scope(text, s["start"], s["end"], bound, words).alias("negation")]).alias("os"), near(v).alias("near")),
+            lambda w: F.flatten(F.zip_with(w["as"], w["near"], lambda a, n: F.transform(F.slice(w["os"], n["at"] + 1, n["n"]), lambda o: pair(a, o)))))))
+    if budget is not None:
+        pairs = F.slice(F.transform(F.array_sort(F.transform(pairs, lambda p: F.struct(
+            p["distance"].alias("d"), p["a"]["start"].alias("s1"), p["a"]["end"].alias("e1"), p["o"]["start"].alias("s2"), p["o"]["end"].alias("e2"), p.alias("p")))), lambda r: r["p"]), 1, budget)
+    found = docs.where((F.size("aspects") > 0) & (F.size("opinions") > 0)).select(
+        key, (F.size("aspects").cast("bigint") * F.size("opinions")).alias("proposed"), pairs.alias("_pairs"))
     skipped = F.lit(0).cast("bigint") if budget is None else F.greatest(F.lit(0).cast("bigint"), F.col("proposed") - budget)
-    diagnostics = base.select(
+    diagnostics = found.select(
         key, F.col("proposed").alias("candidate_pairs"), skipped.alias("skipped_pairs"),
-        F.size(F.filter("_pairs", lambda r: r["p"]["overlap"])).alias("overlap_rejected"), F.size(F.filter("_pairs", lambda r: r["p"]["blocked"] & ~r["p"]["overlap"])).alias("blocked_pairs"))
-    open_ = F.filter("_pairs", lambda r: ~r["p"]["overlap"] & ~r["p"]["blocked"])
-    # windows and negation are read while the text is still at hand, once per span
-    ex = base.select(key, "text", F.explode(open_).alias("r")).select(
-        key, F.col("r.p.distance").alias("distance"), F.col("r.p.a").alias("aspect"), F.col("r.p.o").alias("opinion"),
-        coordination_window(text, F.col("r.p.a.start"), coordinators).alias("coord"),
-        tx.negation_scope(text, F.col("r.p.o.start"), F.col("r.p.o.end"), bound, words).alias("negation"),
-        F.substring(text, F.col("r.p.a.start") + 1, F.col("r.p.a.end") - F.col("r.p.a.start")).alias("aspect_term"),
-        F.substring(text, F.col("r.p.o.start") + 1, F.col("r.p.o.end") - F.col("r.p.o.start")).alias("opinion_term"),
-    )
+        F.size(F.filter("_pairs", lambda p: p["overlap"])).alias("overlap_rejected"), F.size(F.filter("_pairs", lambda p: p["blocked"])).alias("blocked_pairs"))
+    ex = found.select(key, F.explode("_pairs").alias("p")).where("not p.overlap and not p.blocked").select(
+        key, "p.distance", F.col("p.a.span").alias("aspect"), F.col("p.o.span").alias("opinion"), F.col("p.a.coord").alias("coord"),
+        F.col("p.o.negation").alias("negation"), F.col("p.a.term").alias("aspect_term"), F.col("p.o.term").alias("opinion_term"))
     return ex.withColumn("score", F.lit(0.5) / (1 + F.col("distance") / 100)), diagnostics
 
 
@@ -92,7 +149,8 @@ def decode_pairs(pairs: DataFrame, key: str = "doc_id", threshold: float = 0.5,
     ``ambiguous_binding`` marks near ties.  All windows run inside one review.
     """
     a, o = F.col("aspect"), F.col("opinion")
-    base = pairs.where(F.col("score") >= threshold)
+    # one exchange by review serves every window
+    base = pairs.where(F.col("score") >= threshold).repartition(F.col(key))
     by_op = W.partitionBy(key, "opinion.start", "opinion.end").orderBy(F.col("score").desc(), "aspect.start", "aspect.end")
     whole = W.partitionBy(key, "opinion.start", "opinion.end")
     x = base.withColumn("_rn", F.row_number().over(by_op)).withColumn("_best", F.first(F.struct("score", "aspect", "coord")).over(by_op))
@@ -122,12 +180,17 @@ def aspect_only(docs: DataFrame, kept: DataFrame, key: str = "doc_id") -> DataFr
 
 
 def nearest_opinions(text: Column, aspects: Column, opinions: Column, k: int = 1, reach: int = 90) -> Column:
-    """Per aspect the ``k`` nearest opinions of the same sentence: array<struct<aspect, opinions>>."""
-    def of(a):
+    """Per aspect the ``k`` nearest opinions of the same sentence: array<struct<aspect, opinions>>.
+
+    Only opinions whose offsets can be within reach are looked at.
+    """
+    longest = F.coalesce(F.array_max(F.transform(opinions, lambda o: o["end"] - o["start"])), F.lit(0))
+
+    def of(ordered, a, w):
         bounds = F.struct(tx.sentence_left(text, a["start"]).alias("left"), tx.sentence_right(text, a["end"]).alias("right"))
 
         def near(v):
-            inside = F.filter(opinions, lambda o: (o["start"] >= v["left"]) & (o["end"] <= v["right"]))
+            inside = F.filter(F.slice(ordered, w["at"] + 1, w["n"]), lambda o: (o["start"] >= v["left"]) & (o["end"] <= v["right"]))
             dist = F.transform(inside, lambda o: F.struct(
                 F.when(o["end"] <= a["start"], a["start"] - o["end"]).when(o["start"] >= a["end"], o["start"] - a["end"]).otherwise(0).alias("distance"),
                 (-o["score"]).alias("s"), o["start"].alias("p"), o.alias("o")))
@@ -136,7 +199,12 @@ def nearest_opinions(text: Column, aspects: Column, opinions: Column, k: int = 1
 
         return let(bounds, near)
 
-    return F.transform(aspects, of)
+    def every(v):
+        found = windows(
+            F.transform(aspects, lambda a: a["start"] - reach - v["longest"]), F.transform(aspects, lambda a: a["end"] + reach), F.transform(v["ordered"], lambda o: o["start"]))
+        return F.zip_with(aspects, found, lambda a, w: of(v["ordered"], a, w))
+
+    return let(F.struct(by_start(opinions).alias("ordered"), longest.alias("longest")), every)
 
 
 def top_opinions(pairs: DataFrame, scores: DataFrame | None, key: str = "doc_id", k: int = 3, threshold: float = 0.5) -> DataFrame:
@@ -169,11 +237,14 @@ def pair_features(text: Column, a_s: Column, a_e: Column, o_s: Column, o_e: Colu
 
 
 def alias_terms(aspects: Column, reach: int = 420) -> Column:
-    """For each aspect (term, start) the distinct surfaces of the same head within reach."""
-    keyed = F.transform(aspects, lambda a: F.struct(head_key(a["term"]).alias("h"), a["start"].alias("s"), a["term"].alias("t")))
-    return F.transform(keyed, lambda a: F.struct(
-        a["t"].alias("term"), a["s"].alias("start"),
-        F.array_distinct(F.transform(F.filter(keyed, lambda b: (b["h"] == a["h"]) & (F.abs(b["s"] - a["s"]) <= reach)), lambda b: b["t"])).alias("alias_terms")))
+    """For each aspect (term, start) the distinct surfaces of the same head within reach, nearest text first."""
+    def of(keyed):
+        near = windows(F.transform(keyed, lambda a: a["s"] - reach), F.transform(keyed, lambda a: a["s"] + reach), F.transform(keyed, lambda a: a["s"]))
+        return F.zip_with(keyed, near, lambda a, w: F.struct(
+            a["t"].alias("term"), a["s"].alias("start"),
+            F.array_distinct(F.transform(F.filter(F.slice(keyed, w["at"] + 1, w["n"]), lambda b: b["h"] == a["h"]), lambda b: b["t"])).alias("alias_terms")))
+
+    return let(F.array_sort(F.transform(aspects, lambda a: F.struct(a["start"].alias("s"), head_key(a["term"]).alias("h"), a["term"].alias("t")))), of)
 
 
 def consolidate_aliases(items: DataFrame, key: str = "doc_id", reach: int = 420) -> DataFrame:

@@ -128,3 +128,39 @@ def test_entry_and_registry(spark):
     # numbered queries come from the optional subpackage alone
     numbered = [f for n, f in entry.queries().items() if n.startswith("op")]
     assert all(f.__module__.startswith("reviewspark.llm") for f in numbered)
+
+
+def test_pairing_of_a_very_long_review(spark):
+    """A review of 20,000 words: pairs within reach only, barriers as the plain pattern finds them in the gap."""
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    from reviewspark.operators import pairing as pr
+    rng = random.Random(2)
+    words = [rng.choice(["nasi", "mie", "enak", "jelek", "dan", "tapi", "butter", ".", "x", "y", "zz"]) for _ in range(20_000)]
+    text = " ".join(words).replace("zz nasi", "zznasi")
+    rows = [(0, text), (1, "nasi enak"), (2, "enaknasi tapi enak. nasi"), (3, ""), (4, "nasi" + " " * 300 + "dan" + " " * 300 + "mie enak")]
+
+    def spans(pattern, t):
+        return [(m.start(), m.end(), 0.5) for m in re.finditer(pattern, t)]
+    data = [(i, t, spans("nasi|mie|utte", t), spans("enak|jelek", t)) for i, t in rows]
+    kind = "array<struct<start:int,end:int,score:double>>"
+    docs = spark.createDataFrame(data, f"doc_id int, text string, aspects {kind}, opinions {kind}")
+    barrier = r"[.!?;]|\b(?:tapi|but)\b"
+    pairs, diag = pr.candidate_pairs(docs, barrier=barrier)
+    got = {(r["doc_id"], r["a"], r["o"]) for r in pairs.select("doc_id", F.col("aspect.start").alias("a"), F.col("opinion.start").alias("o")).collect()}
+    want, blocked = set(), {}
+    for i, t, aspects, opinions in data:
+        for a, ae, _ in aspects:
+            for o, oe, _ in opinions:
+                if abs(a - o) <= 400 and not (max(a, o) < min(ae, oe)):
+                    if re.search(barrier, t[min(ae, oe):max(a, o)], re.I):
+                        blocked[i] = blocked.get(i, 0) + 1
+                    else:
+                        want.add((i, a, o))
+    assert got == want and len(want) > 5_000
+    assert {r["doc_id"]: r["blocked_pairs"] for r in diag.collect() if r["blocked_pairs"]} == blocked
+    found = docs.select("doc_id", "aspects", F.transform("aspects", lambda s: pr.coordination_window(F.col("text"), s["start"])).alias("w")).where("doc_id = 4").first()
+    assert (found["w"][0], found["w"][1]["lo"] <= 4 <= found["w"][1]["hi"]) == (None, True)
