@@ -42,7 +42,7 @@ def test_exact_percentiles(spark):
 
 def test_components_with_a_hot_key_and_a_chain(spark):
     rng = random.Random(5)
-    rows = [(f"n{i:04d}", "hot" if i % 3 == 0 else f"f{i}", f"c{i // 2}" if i > 150 else None) for i in range(300)]
+    rows = [(f"n{i:04d}", "hot" if i % 3 == 0 else f"f{i}", f"c{i // 2}" if i > 150 else None) for i in range(400)]
     rows += [(f"z{i:03d}", f"x{i}", f"y{(i + 1) // 2}") for i in range(40)]
     rng.shuffle(rows)
     df = spark.createDataFrame([(i, i, f, g) for i, f, g in rows], "id string, text string, family_id string, group_id string")
@@ -103,7 +103,7 @@ def test_merge_within_split_independent_of_partitions(spark):
 
 
 def test_sampler_quotas_and_repeats(spark):
-    rows = [(str(i), "neutral" if i < 5 else ("positive" if i < 150 else "negative"), f"d{i % 4}", f"l{i % 2}", i % 7 == 0) for i in range(300)]
+    rows = [(str(i), "neutral" if i < 5 else ("positive" if i < 150 else "negative"), f"d{i % 4}", f"l{i % 2}", i % 7 == 0) for i in range(400)]
     df = spark.createDataFrame(rows, "example_id string, sentiment string, domain string, language string, hard_contrast boolean")
     want = {"positive": 0.3, "negative": 0.3, "neutral": 0.4}
     got = sampling.controlled_sample(df, want).collect()
@@ -164,3 +164,90 @@ def test_pairing_of_a_very_long_review(spark):
     assert {r["doc_id"]: r["blocked_pairs"] for r in diag.collect() if r["blocked_pairs"]} == blocked
     found = docs.select("doc_id", "aspects", F.transform("aspects", lambda s: pr.coordination_window(F.col("text"), s["start"])).alias("w")).where("doc_id = 4").first()
     assert (found["w"][0], found["w"][1]["lo"] <= 4 <= found["w"][1]["hi"]) == (None, True)
+
+
+def plain_similarity(records):
+    """(left, right) -> cosine of TF-IDF vectors over all records, copies counted."""
+    import math
+    from collections import Counter
+
+    from reviewspark.operators.similarity import _grams
+    counts = [_grams(k) for _, k, _ in records]
+    df = Counter(g for c in counts for g in c)
+    idf = {g: math.log((1 + len(records)) / (1 + n)) + 1 for g, n in df.items()}
+    vectors = {}
+    for (_, k, _), c in zip(records, counts):
+        v = {g: t * idf[g] for g, t in c.items()}
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        vectors[k] = {g: x / norm for g, x in v.items()}
+    sides = {s: {k for _, k, t in records if (t == "train") == (s == "train")} for s in ("train", "test")}
+    return {(a, b): sum(x * vectors[b].get(g, 0.0) for g, x in vectors[a].items()) for a in sides["train"] for b in sides["test"] if a != b}
+
+
+def test_near_duplicates_count_every_record(spark):
+    """Weights over all records, a third of them copies of one text; nothing above the threshold is lost to the bound."""
+    import random
+
+    from reviewspark.operators.similarity import near_duplicates
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghi") for _ in range(rng.randrange(3, 9))) for _ in range(80)]
+    base = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(12)]
+    template = " ".join(rng.choice(words) for _ in range(60))
+    texts = []
+    for b in base:
+        parts = b.split()
+        for _ in range(4):
+            p = list(parts)
+            p[rng.randrange(40)] = rng.choice(words)
+            texts.append(" ".join(p))
+    texts += [f"{template} {rng.choice(words)} {rng.choice(words)}" for _ in range(40)] + [base[0]] * 60 + [template] * 30
+    records = [(str(i), t, rng.choice(["train", "test"])) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(records, "id string, soft_key string, split string")
+    for threshold in (0.985, 0.9):
+        pairs, members = near_duplicates(df, threshold)
+        names = {r["key_id"]: r["soft_key"] for r in members.join(df, ["id", "split"]).select("key_id", "soft_key").distinct().collect()}
+        got = {(names[r["left"]], names[r["right"]]): r["similarity"] for r in pairs.where("left <> right").collect()}
+        want = {p: s for p, s in plain_similarity(records).items() if s >= threshold}
+        assert set(got) == set(want) and len(want) > 50
+        assert all(abs(got[p] - s) < 1e-9 for p, s in want.items())
+
+
+def test_bound_rejects_texts_of_one_template(spark, tmp_path):
+    """Of texts that share a template and a rare word each, few are compared in full: a head that differs is told apart by its bound."""
+    import random
+
+    from reviewspark.operators import similarity as si
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghijklmno") for _ in range(7)) for _ in range(3000)]
+    template = " ".join(words[:30])
+    rare = [rng.choice(words[30:]) for _ in range(60)]
+    texts = [f"{template} {' '.join(rng.sample(words[30:], 30))} {rng.choice(rare)}" for _ in range(400)]
+    keys = spark.createDataFrame([(str(i), t, i % 2 == 0, i % 2 == 1) for i, t in enumerate(texts)], "key_id string, key string, in_train boolean, in_protected boolean")
+    real, path = si._bounded, str(tmp_path / "seen")
+
+    def counted(batches, threshold):
+        for b in batches:
+            out = list(real(iter([b]), threshold))
+            with open(path, "a") as f:
+                f.write(f"{b.num_rows} {sum(x.num_rows for x in out)}\n")
+            yield from out
+    si._bounded = counted
+    try:
+        assert si.near_keys(keys, 0.9).count() == 0
+    finally:
+        si._bounded = real
+    seen = [tuple(map(int, line.split())) for line in open(path)]
+    met, compared = (sum(x) for x in zip(*seen))
+    assert met > 1000 and compared <= met // 4, (met, compared)
+
+
+def test_quarantine_runs_until_settled(spark):
+    import pytest
+
+    from reviewspark.operators.partition_audit import quarantine_near_copies
+    text = " ".join(f"word{i} nasi goreng enak" for i in range(60))
+    rows = [("0", text, "test", "id"), ("1", text + " x", "train", "id"), ("2", "lain sama sekali", "train", "id")]
+    df = spark.createDataFrame(rows, "id string, text string, split string, language string")
+    assert {(r["id"], r["round"]) for r in quarantine_near_copies(df, 0.9).collect()} == {("1", 1)}
+    with pytest.raises(RuntimeError):
+        quarantine_near_copies(df, 0.9, max_rounds=1)
