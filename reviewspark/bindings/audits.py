@@ -8,7 +8,7 @@ from reviewspark.bindings.common import SQL_ANNOTATED, SQL_REVIEWS, annotated, d
 from reviewspark.functions import text as tx
 from reviewspark.operators import audit, dedup
 from reviewspark.registry import query, table
-from reviewspark.scale import digest, hash_rank
+from reviewspark.scale import digest, global_positions, hash_rank
 
 _KEY = sql_ws("lower(text)")
 
@@ -206,10 +206,7 @@ def preview_and_page(spark, sf):
 
 @query("srt_metric_history", "SELECT event_id, event_type, value, row_number() OVER (ORDER BY event_id) AS step FROM events")
 def metric_history(spark, sf):
-    # insertion ids are dense enough to serve as slices of the global order
-    e = table(spark, sf, "events").select("event_id", "event_type", "value")
-    hexed = F.lower(F.lpad(F.hex("event_id"), 16, "0"))
-    return hash_rank(e.withColumn("_g", F.lit(0)), ["_g"], hexed, "step", 13).drop("_g")
+    return global_positions(table(spark, sf, "events").select("event_id", "event_type", "value"), ["event_id"], "step")
 
 
 @query("set_ordered_distinct", "SELECT conv_id, array_to_string(list(role ORDER BY first_turn), '>') AS roles FROM (SELECT conv_id, role, min(turn) AS first_turn FROM conversations GROUP BY ALL) GROUP BY 1")

@@ -63,3 +63,18 @@ def arriving_files(spark, sf):
     q = arrivals.score_arrivals(rows, gazetteer(spark), f"{base}/out", f"{base}/check", cue=_CUE, not_places=[], fuzzy=False)
     q.awaitTermination()
     return spark.read.parquet(f"{base}/out").groupBy(F.col("processing_status").alias("status")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("str_progress_table", "SELECT 'reviews' AS query, count(*) AS processed_rows, count(*) FILTER (doc_id % 10 <> 0 AND length(trim(text, ' ')) <= 10000) AS successful_rows, 0::BIGINT AS failed_rows FROM documents")
+def progress_table(spark, sf):
+    """Arrivals scored in two runs of one query: the second goes on where the first has stopped."""
+    base = scratch_path(spark, "progress")
+    d = documents(spark, sf).select(F.when(F.col("doc_id") % 10 == 0, " ").otherwise(F.col("text")).alias("review"), F.col("doc_id").alias("id"))
+    for half in (0, 1):
+        part = d.where(F.pmod(F.xxhash64("id"), F.lit(2)) == half)
+        part.repartition(4).write.mode("append").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option(
+            "ignoreTrailingWhiteSpace", False).csv(f"{base}/in")
+        rows = arrivals.arriving_reviews(spark, f"{base}/in", "review string, id string", 3)
+        arrivals.score_arrivals_counted(
+            rows, gazetteer(spark), f"{base}/out", f"{base}/progress", f"{base}/check", "reviews", cue=_CUE, not_places=[], fuzzy=False).awaitTermination()
+    return arrivals.read_progress(spark, f"{base}/progress").select("query", "processed_rows", "successful_rows", "failed_rows")

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from reviewspark.session import cut_lineage
+
 BROADCAST_ROWS = 200_000
 HOT_KEY_ROWS = 1_000_000
 HOT_KEY_LIMIT = 1_000
@@ -200,3 +202,21 @@ def running_over_scores(points: DataFrame, score: str, measures: Sequence[str],
     out = run.join(offsets, [*keys, "_s"])
     out = out.withColumns({f"run_{m}": F.col(f"_o_{m}") + F.col(f"_i_{m}") for m in measures})
     return out.drop("_s", "_all", *[f"_{k}_{m}" for k in "oi" for m in measures])
+
+
+def global_positions(df: DataFrame, order: Sequence[str], out: str = "position", first: int = 1) -> DataFrame:
+    """Exact place of every row in the total order of ``order``, which should be unique.
+
+    A range exchange puts ascending slices into partitions, each sorted for itself; the sizes of the partitions,
+    one number each, are the only thing that is looked at together.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    placed = cut_lineage(dealt).withColumn("_part", F.shiftright("_id", 33))
+    offsets, at = [], first
+    for r in sorted(placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()):
+        offsets.append((r["_part"], at))
+        at += r["n"]
+    known = spark.createDataFrame(offsets, "_part long, _offset long")
+    return placed.join(F.broadcast(known), "_part").withColumn(out, F.col("_offset") + F.pmod(F.col("_id"), F.lit(1 << 33))).drop("_part", "_id", "_offset")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
@@ -32,6 +34,33 @@ def score_arrivals(rows: DataFrame, gazetteer: Gazetteer, out: str, checkpoint:
     return watched.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def score_arrivals_counted(rows: DataFrame, gazetteer: Gazetteer, out: str, progress: str, checkpoint: str, name: str, **options) -> StreamingQuery:
+    """As ``score_arrivals``, with a progress table: a row per query, micro-batch and status.
+
+    Output and progress of a batch have folders of their own, named by query and batch, and are overwritten as a
+    whole: a batch that is repeated after a crash leaves the same rows once. Counts are read from what was
+    written, so nothing is scored twice.
+    """
+    def batch(frame: DataFrame, number: int) -> None:
+        spark, here, started = frame.sparkSession, f"query={name}/batch={number}", time.time()
+        score_rows(frame, gazetteer, **options).write.mode("overwrite").parquet(f"{out}/{here}")
+        counts = spark.read.parquet(f"{out}/{here}").groupBy(F.col("processing_status").alias("status")).agg(F.count(F.lit(1)).alias("rows"))
+        counts.withColumn("seconds", F.lit(time.time() - started)).coalesce(1).write.mode("overwrite").parquet(f"{progress}/{here}")
+
+    return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_progress(spark: SparkSession, progress: str) -> DataFrame:
+    """Totals per query: batches, processed, successful and failed rows, seconds and rows per second."""
+    table = spark.read.schema("status string, rows long, seconds double, query string, batch long").option("basePath", progress).parquet(progress)
+    batches = table.groupBy("query", "batch").agg(
+        F.sum("rows").alias("rows"), F.sum(F.when(F.col("status") == "success", F.col("rows")).otherwise(0)).alias("ok"),
+        F.sum(F.when(F.col("status") == "model_error", F.col("rows")).otherwise(0)).alias("bad"), F.max("seconds").alias("seconds"))
+    return batches.groupBy("query").agg(
+        F.count(F.lit(1)).alias("batches"), F.sum("rows").alias("processed_rows"), F.sum("ok").alias("successful_rows"), F.sum("bad").alias("failed_rows"),
+        F.sum("seconds").alias("seconds")).withColumn("rows_per_second", F.try_divide("processed_rows", "seconds"))
+
+
 class ProgressLog(StreamingQueryListener):
     """Keeps running totals and throughput of every query it hears about."""
 

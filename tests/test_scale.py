@@ -251,3 +251,14 @@ def test_quarantine_runs_until_settled(spark):
     assert {(r["id"], r["round"]) for r in quarantine_near_copies(df, 0.9).collect()} == {("1", 1)}
     with pytest.raises(RuntimeError):
         quarantine_near_copies(df, 0.9, max_rounds=1)
+
+
+def test_global_positions_need_no_single_partition(spark):
+    import random
+
+    from reviewspark.scale import global_positions
+    values = random.Random(1).sample(range(10**9), 5000)
+    out = global_positions(spark.createDataFrame([(v,) for v in values], "v long").repartition(7), ["v"])
+    assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r["v"]: r["position"] for r in out.collect()} == {v: i for i, v in enumerate(sorted(values), 1)}
+    assert global_positions(spark.createDataFrame([], "v long"), ["v"]).count() == 0
