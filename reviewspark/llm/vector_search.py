@@ -16,7 +16,7 @@ Equal vectors are one entry that keeps its ``k + 1`` smallest ids: no other of i
 nearest, ties going to smaller ids. A prefix of many vectors is split over several segments.
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no part, nor do
-rows without id; repeated rows with the same id and vector are one candidate; with fewer candidates than k, all
+rows without id and, where lengths differ, vectors of another length than most have; repeated rows with the same id and vector are one candidate; with fewer candidates than k, all
 are returned; an empty table gives an empty table; other columns are ignored, whatever their names.
 """
 
@@ -77,6 +77,12 @@ def taking_part(table: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return rows.where(F.col("id").isNotNull() & v.isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(v, lambda x: x != 0))
 
 
+def usual_length(rows: DataFrame) -> int:
+    """The length that most vectors have; of equally frequent ones the largest."""
+    found = rows.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("c")).agg(F.max(F.struct("c", "n")).alias("m")).first()
+    return found["m"]["n"] if found["m"] else 0
+
+
 def entries(rows: DataFrame, keep: int) -> DataFrame:
     """(v, ids, uid): distinct vectors with their smallest ids; extra ids are dropped before the shuffle."""
     order = W.partitionBy("v").orderBy("id")
@@ -159,8 +165,9 @@ def nearest(table: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
     """(query_id, rank, vec_id, score): the ``k`` nearest others of every row that ``is_query`` marks."""
     spark = table.sparkSession
     rows = taking_part(table, vec_id, embedding)
-    all_entries = stored(entries(rows, k + 1), "forest-entries")
-    queries = stored(taking_part(table.where(is_query), vec_id, embedding).distinct(), "forest-queries")
+    same = F.size("v") == usual_length(rows)
+    all_entries = stored(entries(rows.where(same), k + 1), "forest-entries")
+    queries = stored(taking_part(table.where(is_query), vec_id, embedding).where(same).distinct(), "forest-queries")
     sample = vectors_of(all_entries.orderBy(F.xxhash64("uid"), "uid").limit(SAMPLE_ROWS).select("v").toArrow().column("v"))
     empty = "query_id long, rank int, vec_id long, score double"
     if not len(sample):
