@@ -12,7 +12,7 @@ from reviewspark import lexicons as lx
 from reviewspark.functions import text as tx
 from reviewspark.functions.spans import find_spans, gap_text, overlaps
 from reviewspark.operators.spans import head_key
-from reviewspark.scale import let
+from reviewspark.scale import let, lower_bound
 
 WHITESPACE = " \t\n\r\x0b\x0c"
 #: Characters read before a span.
@@ -55,17 +55,6 @@ def coordinated(a_start: Column, a_end: Column, a_win: Column, b_start: Column,
     return F.coalesce(right_b, F.lit(False)) | F.coalesce(right_a, F.lit(False))
 
 
-def lower_bound(points: Column, value: Column) -> Column:
-    """How many of the ascending ``points`` are below ``value``, by halving."""
-    def step(acc, _):
-        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
-        less = (acc["lo"] < acc["hi"]) & (F.get(points, mid) < value)
-        return F.struct(F.when(less, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(less, acc["hi"]).otherwise(F.when(acc["lo"] < acc["hi"], mid).otherwise(acc["hi"])).alias("hi"))
-
-    steps = F.array_repeat(F.lit(0), F.ceil(F.log2(F.size(points) + 1)).cast("int"))
-    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(points).alias("hi")), step)["lo"]
-
-
 def windows(low: Column, high: Column, points: Column) -> Column:
     """For each i the points between ``low[i]`` and ``high[i]``: array<struct<at,n>>, the first one's place and their number.
 

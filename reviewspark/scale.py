@@ -46,6 +46,17 @@ def let(value: Column, fn) -> Column:
     return F.get(F.transform(F.array(value), fn), F.lit(0))
 
 
+def lower_bound(points: Column, value: Column) -> Column:
+    """How many of the ascending ``points`` are below ``value``, by halving."""
+    def step(acc, _):
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        less = (acc["lo"] < acc["hi"]) & (F.get(points, mid) < value)
+        return F.struct(F.when(less, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(less, acc["hi"]).otherwise(F.when(acc["lo"] < acc["hi"], mid).otherwise(acc["hi"])).alias("hi"))
+
+    steps = F.array_repeat(F.lit(0), F.ceil(F.log2(F.size(points) + 1)).cast("int"))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(points).alias("hi")), step)["lo"]
+
+
 def best_per_key(df: DataFrame, keys: Sequence[str], order: Column, columns: Sequence[str] | None = None) -> DataFrame:
     """One row per key, the one with the smallest ``order`` struct.
 
@@ -132,22 +143,32 @@ def distinct_keys(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*cols).distinct()
 
 
-def exact_percentiles(df: DataFrame, value: str, fractions: Sequence[float], keys: Sequence[str] = (), slices: int = 4096,
+def value_slices(values: DataFrame, keys: Sequence[str], slices: int) -> DataFrame:
+    """``values`` (keys, _v, _c) with ``_n``, the rows of the key, and ``_s``, the slice of the value.
+
+    The cut points between slices are quantiles of a sketch of the distinct values, of bounded size per key, so
+    slices hold about equally many values however these are spread; an outlier is just the last value of its slice.
+    """
+    shares = F.array(*[F.lit(i / slices) for i in range(1, slices)])
+    cuts = values.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("_v", shares, F.lit(20 * slices))).alias("_cuts"), F.sum("_c").alias("_n"))
+    return values.join(small(cut_lineage(cuts)), keys).withColumn("_s", lower_bound(F.col("_cuts"), F.col("_v"))).drop("_cuts")
+
+
+def exact_percentiles(df: DataFrame, value: str, fractions: Sequence[float], keys: Sequence[str] = (), slices: int = 256,
                       method: str = "linear") -> DataFrame:
     """Exact percentiles per key without gathering a group in one task.
 
-    Equal values are counted first.  The value range of each key is cut into
-    slices; slice counts locate the slice that holds a wanted rank, and only the
+    Equal values are counted first, which is the only scan of ``df``. Sketched quantiles cut the values of each key
+    into slices; slice counts locate the slice that holds a wanted rank, and only the
     distinct values of those slices are ordered.  ``linear`` interpolates between
     neighbours, ``nearest`` picks the value at ``round((n - 1) * p)``.
     """
     keys = list(keys) or ["_all"]
     base = df if keys != ["_all"] else df.withColumn("_all", F.lit(0))
-    values = base.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    stats = values.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
-    width = F.when(F.col("_hi") > F.col("_lo"), (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(F.lit(0.0))
-    sliced = values.join(stats, keys).withColumn("_s", F.floor(width * (slices - 1)).cast("int"))
-    per_slice = sliced.groupBy(*keys, "_s").agg(F.sum("_c").alias("_sc"), F.first("_n").alias("_n"))
+    counted = base.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    sliced = cut_lineage(value_slices(cut_lineage(counted), keys, slices))
+    stats = sliced.groupBy(*keys).agg(F.first("_n").alias("_n"))
+    per_slice = sliced.groupBy(*keys, "_s").agg(F.sum("_c").alias("_sc"))
     before = W.partitionBy(*keys).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
     bounds = per_slice.withColumn("_from", F.coalesce(F.sum("_sc").over(before), F.lit(0)))
     wanted = F.array(*[F.lit(float(p)) for p in fractions])

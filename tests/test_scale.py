@@ -262,3 +262,24 @@ def test_global_positions_need_no_single_partition(spark):
     assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
     assert {r["v"]: r["position"] for r in out.collect()} == {v: i for i, v in enumerate(sorted(values), 1)}
     assert global_positions(spark.createDataFrame([], "v long"), ["v"]).count() == 0
+
+
+def test_percentiles_with_outliers(spark):
+    """One value of 10^12 leaves the slices balanced, and the percentiles are exact, repeated values and tiny groups included."""
+    import random
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from reviewspark.scale import exact_percentiles, value_slices
+    rng = random.Random(6)
+    groups = {"a": [rng.random() for _ in range(20_000)] + [1e12], "b": [5.0] * 900 + [float(rng.randrange(50)) for _ in range(100)], "c": [1.0], "d": [-3.0, 7.5]}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs] + [("a", None), ("e", None)], "k string, v double")
+    values = df.where("v is not null").groupBy("k", F.col("v").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    sizes = value_slices(values, ["k"], 256).where("k = 'a'").groupBy("_s").count().collect()
+    assert max(r["count"] for r in sizes) < 20_000 * 4 / 256 and len(sizes) > 200
+    got = {(r["k"], r["p"]): r["value"] for r in exact_percentiles(df, "v", [0.0, 0.5, 0.95, 0.99, 1.0], ["k"]).collect()}
+    for k, vs in groups.items():
+        for p in (0.0, 0.5, 0.95, 0.99, 1.0):
+            assert abs(got[k, p] - np.percentile(vs, 100 * p)) <= 1e-9 * max(1.0, abs(got[k, p]))
+    assert len(got) == 20
