@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reviewspark import lexicons as lx
@@ -63,6 +64,28 @@ def wrapped_export(spark, sf):
     return files.read_wrapped_export(spark, path).where("not malformed").select("customer_id", "review", "city")
 
 
+@query("src_wrapped_export_encoding", "SELECT doc_id::VARCHAR AS customer_id, replace(replace(text, chr(10), ' '), '\"', '') AS review, lang AS city FROM documents")
+def wrapped_export_encoding(spark, sf):
+    """Wrapped exports whose bytes are Latin-1, found and read as such by the sniffing reader."""
+    path = scratch_path(spark, "wrapped-latin")
+    flat = F.translate(F.translate("text", "\n", " "), '"', "")
+    line = F.concat(F.lit('"'), F.col("doc_id").cast("string"), F.lit(","), flat, F.lit(',""'), F.col("lang"), F.lit('""";;;'))
+    lines = _with_header(_parts(documents(spark, sf)).select(line.alias("value")), '"id,""Isi Review"",kota";;;')
+    lines.select(F.encode("value", "ISO-8859-1").cast("string").alias("value")).write.text(path)  # the bytes, as they are
+    return files.read_review_files(spark, f"{path}/*.txt").select("customer_id", "review", "city")
+
+
+@query("src_multiline_rows", "SELECT doc_id::VARCHAR AS customer_id, sha256(text) AS review_sha, true AS in_order FROM documents")
+def multiline_rows(spark, sf):
+    """Texts with line breaks in quoted fields come back byte for byte, numbered in the order of their file."""
+    path = scratch_path(spark, "multiline")
+    d = documents(spark, sf).select(F.col("doc_id").alias("id"), F.col("text").alias("ulasan"))
+    _write_csv(d.repartitionByRange(4, "id").sortWithinPartitions("id"), path)
+    df = files.read_reviews_csv(spark, f"{path}/*.csv")
+    here = W.partitionBy("path").orderBy(F.col("customer_id").cast("long"))
+    return df.select("customer_id", F.sha2("review", 256).alias("review_sha"), (F.row_number().over(here) + 1 == F.col("row_number")).alias("in_order"))
+
+
 @query("src_row_numbering", "SELECT count(*) AS rows_read, count(*) AS distinct_numbers, count(*) AS last_numbers FROM lineitem")
 def row_numbering(spark, sf):
     path = scratch_path(spark, "numbered")
