@@ -14,6 +14,7 @@ from reviewspark import lexicons as lx
 from reviewspark.functions import text as tx
 from reviewspark.functions.spans import offset_ok
 from reviewspark.schemas import ANNOTATION
+from reviewspark.scale import small
 
 
 def _annotation(a: Column, **changes: Column) -> Column:
@@ -118,7 +119,7 @@ def profile_thresholds(spark, profiles=None) -> DataFrame:
 
 def confidence_cut(rows: DataFrame, profiles: DataFrame, score: str = "score", threshold: str = "aspect_threshold") -> DataFrame:
     """Rows that reach their profile's threshold; the profile table has one row per profile."""
-    return rows.join(F.broadcast(profiles.select("profile", threshold)), "profile").where(F.col(score) >= F.col(threshold)).drop(threshold)
+    return rows.join(small(profiles.select("profile", threshold)), "profile").where(F.col(score) >= F.col(threshold)).drop(threshold)
 
 
 def three_class_view(anns: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from reviewspark import lexicons as lx
 from reviewspark.functions import text as tx
-from reviewspark.scale import digest, hash_rank, hash_running
+from reviewspark.scale import digest, hash_rank, hash_running, small
 from reviewspark.session import cut_lineage
 
 
@@ -97,8 +97,8 @@ def controlled_sample(examples: DataFrame, target: dict[str, float], key: str =
     u = tx.hash01(F.concat(F.lit(f"{seed}::"), F.col(key)))
     draw = -F.ln(F.greatest(u, F.lit(1e-15))) / F.col("_w")
     weighted = (
-        examples.join(F.broadcast(doms), ["sentiment", "domain"]).join(F.broadcast(langs), ["sentiment", "language"])
-        .join(F.broadcast(quotas), "sentiment").join(F.broadcast(sizes), "sentiment").withColumn("_w", w)
+        examples.join(small(doms), ["sentiment", "domain"]).join(small(langs), ["sentiment", "language"])
+        .join(small(quotas), "sentiment").join(small(sizes), "sentiment").withColumn("_w", w)
     )
     unit = draw / (1 + draw)
     slot = F.lower(F.lpad(F.hex((unit * F.lit(float(2**52))).cast("bigint")), 14, "0"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reviewspark import lexicons as lx
 from reviewspark.functions import text as tx
-from reviewspark.scale import let
+from reviewspark.scale import let, small
 
 
 def map_category(aspect: Column, context: Column, domain_hint: Column | None = None, rules: Sequence[tuple] | None = None) -> Column:
@@ -121,8 +121,8 @@ def hierarchical_issue(scores: DataFrame, allowed: DataFrame, keys: Sequence[str
     everything.  The probability is a softmax over the allowed issues.  The
     strict policy abstains on low confidence or diagnostic-only labels.
     """
-    listed = F.broadcast(allowed.select("domain", "entity").distinct().withColumn("_listed", F.lit(True)))
-    ok = F.broadcast(allowed.select("domain", "entity", "issue").distinct().withColumn("_ok", F.lit(True)))
+    listed = small(allowed.select("domain", "entity").distinct().withColumn("_listed", F.lit(True)))
+    ok = small(allowed.select("domain", "entity", "issue").distinct().withColumn("_ok", F.lit(True)))
     open_ = scores.join(listed, ["domain", "entity"], "left").join(ok, ["domain", "entity", "issue"], "left").where("_listed is null or _ok is not null")
     best = open_.groupBy(*keys, "domain", "entity").agg(
         F.max(F.struct(F.col("logit"), F.col("issue"))).alias("top"), F.max("logit").alias("m"), F.first("entity_confidence").alias("entity_confidence"),
