@@ -12,7 +12,7 @@ from reviewspark import lexicons as lx
 from reviewspark.functions import text as tx
 from reviewspark.functions.spans import find_spans, gap_text, overlaps
 from reviewspark.operators.spans import head_key
-from reviewspark.scale import let, lower_bound
+from reviewspark.scale import computed, let, lower_bound
 
 WHITESPACE = " \t\n\r\x0b\x0c"
 #: Characters read before a span.
@@ -26,6 +26,8 @@ def coordination_window(text: Column, start: Column, words: Sequence[str] = tupl
     Reads backwards from the aspect, so a long review is not scanned per span; only behind a very long
     run of blanks all of the text before it.
     """
+    longest = max(map(len, words))
+
     def of(v):
         before, from_ = v["before"], v["from"]
         out = None
@@ -38,9 +40,9 @@ def coordination_window(text: Column, start: Column, words: Sequence[str] = tupl
 
     def read(from_):
         before = F.rtrim(F.substring(text, from_ + 1, start - from_), F.lit(WHITESPACE))
-        return let(before, lambda b: F.struct(b.alias("before"), F.lower(b).alias("low"), from_.alias("from")))
+        # only the end is compared with the words
+        return let(before, lambda b: F.struct(b.alias("before"), F.lower(F.right(b, F.lit(longest))).alias("low"), from_.alias("from")))
 
-    longest = max(map(len, words))
     near = let(F.greatest(F.lit(0), start - NEAR), read)
     # what is left must show the coordinator and something before it
     short = let(near, lambda v: F.when((v["from"] == 0) | (F.length(F.rtrim(F.substring(v["before"], F.lit(1), F.length(v["before"]) - longest), F.lit(WHITESPACE))) > 0), v).otherwise(
@@ -118,8 +120,8 @@ def candidate_pairs(docs: DataFrame, key: str = "doc_id", threshold: float = 0.1
     if budget is not None:
         pairs = F.slice(F.transform(F.array_sort(F.transform(pairs, lambda p: F.struct(
             p["distance"].alias("d"), p["a"]["start"].alias("s1"), p["a"]["end"].alias("e1"), p["o"]["start"].alias("s2"), p["o"]["end"].alias("e2"), p.alias("p")))), lambda r: r["p"]), 1, budget)
-    found = docs.where((F.size("aspects") > 0) & (F.size("opinions") > 0)).select(
-        key, (F.size("aspects").cast("bigint") * F.size("opinions")).alias("proposed"), pairs.alias("_pairs"))
+    found = computed(docs.where((F.size("aspects") > 0) & (F.size("opinions") > 0)).select(
+        key, "text", "aspects", "opinions", (F.size("aspects").cast("bigint") * F.size("opinions")).alias("proposed")), {"_pairs": pairs})
     skipped = F.lit(0).cast("bigint") if budget is None else F.greatest(F.lit(0).cast("bigint"), F.col("proposed") - budget)
     diagnostics = found.select(
         key, F.col("proposed").alias("candidate_pairs"), skipped.alias("skipped_pairs"),
