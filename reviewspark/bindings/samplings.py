@@ -10,7 +10,8 @@ from reviewspark.bindings.common import SQL_ANNOTATED, SQL_LEAK, SQL_REVIEWS, do
 from reviewspark.functions import text as tx
 from reviewspark.operators import sampling as sm
 from reviewspark.registry import query, table
-from reviewspark.scale import digest
+from reviewspark.scale import digest, small
+from reviewspark.session import cut_lineage
 
 
 @query("smp_cap_positive", f"""WITH {SQL_ANNOTATED}, lim AS (SELECT round_even(0.25 * greatest(1, count(*) FILTER (sentiment <> 'positive')), 0) AS n FROM ann),
@@ -70,15 +71,12 @@ w AS (SELECT *, pow(count(*) OVER (PARTITION BY sentiment, domain), -0.5) * pow(
 q AS (SELECT sentiment, CASE sentiment WHEN 'positive' THEN 0.25 WHEN 'negative' THEN 0.25 ELSE 0.5 END * n AS raw, n, size FROM w GROUP BY ALL),
 f AS (SELECT *, (floor(raw) + (row_number() OVER (ORDER BY round(raw - floor(raw), 12) DESC, sentiment DESC) <= n - sum(floor(raw)) OVER ())::INT)::BIGINT AS quota FROM q),
 r AS (SELECT w.*, quota, row_number() OVER (PARTITION BY w.sentiment ORDER BY -ln(greatest(u, 1e-15)) / w, k) AS rk FROM w JOIN f USING (sentiment))
-SELECT sentiment, quota AS sampled, count(*) FILTER (rk <= quota) AS distinct_rows, sum(hash(1) * 0)::BIGINT AS zero, CASE WHEN max(quota) <= max(r.size) THEN sum(('0x' || substr(md5(k), 1, 8))::BIGINT) FILTER (rk <= quota) ELSE 0 END::BIGINT AS members FROM r GROUP BY sentiment, quota""")
+SELECT k AS example_id, sentiment, quota AS sampled, least(quota, size) AS distinct_rows FROM r WHERE rk <= quota""")
 def controlled_sample(spark, sf):
+    """Every member of the sample, with the draws and rows of its class."""
     a = ann_rows(spark, sf).select(F.concat_ws("#", "id", F.col("aspect_start").cast("string")).alias("example_id"), "sentiment", "domain", "language", (F.col("aspect_start") % 5 == 0).alias("hard_contrast"))
-    s = sm.controlled_sample(a, {"positive": 0.25, "negative": 0.25, "neutral": 0.5})
-    exp = sm.exposure(s)
-    # only small classes repeat rows; elsewhere the members are compared by the sum of their digests
-    digest_ = F.conv(F.substring(F.md5(F.col("example_id").cast("binary")), 1, 8), 16, 10).cast("bigint")
-    mem = s.groupBy("sentiment").agg(F.when(F.max("draws") == 1, F.sum(digest_)).otherwise(0).alias("members"))
-    return exp.join(mem, "sentiment").select("sentiment", "sampled", "distinct_rows", F.lit(0).cast("bigint").alias("zero"), "members")
+    s = cut_lineage(sm.controlled_sample(a, {"positive": 0.25, "negative": 0.25, "neutral": 0.5}).select("example_id", "sentiment", "draws"))
+    return s.join(small(sm.exposure(s)), "sentiment").select("example_id", "sentiment", "sampled", "distinct_rows")
 
 
 @query("smp_warmup_corpus", f"""WITH {SQL_REVIEWS},
