@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from reviewspark.functions.spans import starts_of
+from reviewspark.operators import pairing
 from reviewspark.operators.normalize import _fold
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -46,3 +47,19 @@ def test_compatibility_view_keeps_raw_offsets():
     assert _fold(None) == (None, None) and _fold("\u00e9t\u00e9") == ("\u00e9t\u00e9", None)
     text, index = _fold("a\ufb01\u2026\U0001f600x")
     assert text == "afi...\U0001f600x" and list(index) == [0, 1, 1, 2, 2, 2, 3, 4]
+
+
+def test_controlled_sample_returns_every_member(spark, tmp_path):
+    sf = write_documents(spark, tmp_path, ["This is from here, with this and this. " * (i % 4) for i in range(60)])
+    got = entry.queries()["smp_controlled_sample"](spark, sf).collect()
+    assert len({r["example_id"] for r in got}) == len(got) > 0
+    by_class = {r["sentiment"]: r["distinct_rows"] for r in got}
+    assert by_class == {c: sum(r["sentiment"] == c for r in got) for c in by_class}
+
+
+def test_crossed_pairs_equal_brute_force(spark):
+    pos = [(1, 3, 4, 6), (1, 3, 8, 9), (10, 12, 4, 6), (20, 21, 30, 31)]
+    df = spark.createDataFrame([(pos,), ([],)], "v array<struct<as:int,ae:int,os:int,oe:int>>")
+    want = {(a[0], a[1], o[2], o[3]) for a in pos for o in pos} - set(pos)
+    got = [[tuple(p) for p in r["c"]] for r in df.select(pairing._crossed(F.col("v")).alias("c")).collect()]
+    assert sorted(map(len, got)) == [0, len(want)] and set(max(got, key=len)) == want
