@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from reviewspark.operators.enrich import Gazetteer
 from reviewspark.plans.batch import score_rows
+from reviewspark.scale import spread
 from reviewspark.sources.files import with_roles
 
 
@@ -25,10 +26,12 @@ def arriving_reviews(spark: SparkSession, folder: str, schema: str, files_per_ba
 def score_arrivals(rows: DataFrame, gazetteer: Gazetteer, out: str, checkpoint: str, **options) -> StreamingQuery:
     """Score what has arrived and stop; the checkpoint makes each file count exactly once.
 
-    Scoring is a narrow row operation, so a bad row cannot hold back others and
-    a lost executor only repeats its own files.
+    Scoring is a row operation, so a bad row cannot hold back others.  A file
+    with line breaks in its fields is read by one task, so the rows of a
+    micro-batch are dealt to all cores before they are scored.
     """
-    scored = score_rows(rows, gazetteer, **options)
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    scored = score_rows(rows.repartition(cores), gazetteer, **options)
     watched = scored.observe("progress", F.count(F.lit(1)).alias("processed_rows"), F.count_if(F.col("processing_status") == "success").alias("successful_rows"),
                              F.count_if(F.col("processing_status") == "model_error").alias("failed_rows"))
     return watched.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -43,7 +46,7 @@ def score_arrivals_counted(rows: DataFrame, gazetteer: Gazetteer, out: str, prog
     """
     def batch(frame: DataFrame, number: int) -> None:
         spark, here, started = frame.sparkSession, f"query={name}/batch={number}", time.time()
-        score_rows(frame, gazetteer, **options).write.mode("overwrite").parquet(f"{out}/{here}")
+        score_rows(spread(frame), gazetteer, **options).write.mode("overwrite").parquet(f"{out}/{here}")
         counts = spark.read.parquet(f"{out}/{here}").groupBy(F.col("processing_status").alias("status")).agg(F.count(F.lit(1)).alias("rows"))
         counts.withColumn("seconds", F.lit(time.time() - started)).coalesce(1).write.mode("overwrite").parquet(f"{progress}/{here}")
 
