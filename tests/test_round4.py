@@ -58,3 +58,36 @@ def test_rows_of_one_file_are_scored_by_all_cores(spark, tmp_path):
     arrivals.score_arrivals(rows, g, f"{tmp_path}/out", f"{tmp_path}/check", fuzzy=False).awaitTermination()
     out = spark.read.parquet(f"{tmp_path}/out")
     assert out.count() == 200 and out.select(F.input_file_name()).distinct().count() == spark.sparkContext.defaultParallelism
+
+
+def test_near_keys_of_frequent_grams_in_blocks(spark, monkeypatch):
+    """Texts that share only frequent grams, few known weights and small blocks: the pairs of the plain comparison."""
+    import math
+    import random
+    from collections import Counter
+
+    from reviewspark.operators import similarity as si
+    rng = random.Random(3)
+    words = ["kopi", "enak", "lama", "harga", "mahal", "tempat", "nyaman", "parkir", "sempit", "ramah", "é\U0001F600", "a"]
+    base = [" ".join(rng.choice(words) for _ in range(30)) for _ in range(60)]
+    texts = sorted(set(base + [b.replace("kopi", "kopik", 1) for b in base[:30]] + [b.replace("enak", "lama", 1) for b in base[20:50]]))
+    for t in texts:
+        plain = si._grams(t)
+        hashes, counts = si.gram_hashes(t)
+        assert len(hashes) == len(plain) and sorted(counts.tolist()) == sorted(plain.values())
+    for name, value in (("KNOWN_GRAMS", 20), ("BLOCK_TEXTS", 7), ("VECTOR_TEXTS", 5)):
+        monkeypatch.setattr(si, name, value)
+    df = spark.createDataFrame([(f"k{i:03d}", t, i % 3 > 0, i % 3 < 2) for i, t in enumerate(texts)], "key_id string, key string, in_train boolean, in_protected boolean")
+    got = {(r["left"], r["right"]): r["similarity"] for r in si.near_keys(df, 0.97).collect()}
+    grams = [si._grams(t) for t in texts]
+    n = Counter(g for c in grams for g in c)
+    vectors = [{g: k * (math.log((1 + len(texts)) / (1 + n[g])) + 1) for g, k in c.items()} for c in grams]
+    norms = [math.sqrt(sum(x * x for x in v.values())) for v in vectors]
+    want = {}
+    for i, v in enumerate(vectors):
+        for j, u in enumerate(vectors):
+            s = sum(x * u.get(g, 0.0) for g, x in v.items()) / norms[i] / norms[j]
+            if i != j and i % 3 > 0 and j % 3 < 2 and s >= 0.97:
+                want[f"k{i:03d}", f"k{j:03d}"] = s
+    assert set(got) == set(want) and len(want) > 10
+    assert all(abs(got[p] - s) < 1e-9 for p, s in want.items())
