@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from reviewspark import lexicons as lx
 from reviewspark.bindings.audits import ann_rows
-from reviewspark.bindings.common import OPINION_RE, SQL_ANNOTATED, documents, reviews
+from reviewspark.bindings.common import OPINION_RE, SQL_ANNOTATED, annotated, documents, reviews
+from reviewspark.functions import text as tx
 from reviewspark.functions.spans import find_spans
 from reviewspark.operators import evaluation as ev
 from reviewspark.registry import query, table
+from reviewspark.scale import computed
+from reviewspark.session import cut_lineage
 
 SQL_GP = SQL_ANNOTATED + """,
 gold AS (SELECT id, s, e, (e + 1)::INTEGER AS os, (e + 5)::INTEGER AS oe, sentiment, lower(term) AS tax, s % 6 <> 0 AS rel FROM ann),
@@ -19,25 +22,26 @@ pred AS (
   UNION ALL SELECT doc_id::VARCHAR, s, e, e + 2, e + 6, 'negative', 'spurious', round((s % 101) / 100.0::DOUBLE, 2), TRUE FROM opn WHERE s % 9 = 0)"""
 
 
-def gold(spark, sf):
-    a = ann_rows(spark, sf)
-    return a.select(
+def gold_and_pred(spark, sf):
+    """Gold rows and perturbed predictions; both are read several times, the texts behind them once."""
+    r = annotated(spark, sf).withColumn("annotations", F.transform("annotations", lambda a: F.struct(
+        a["aspect_start"].alias("aspect_start"), a["aspect_end"].alias("aspect_end"), tx.canonical_sentiment(a["sentiment"]).alias("sentiment"), a["aspect_term"].alias("aspect_term"),
+        a["annotation_confidence"].alias("annotation_confidence"), a["implicit"].alias("implicit"))))
+    opinions = F.transform(find_spans(F.col("text"), OPINION_RE), lambda o: F.struct(o["start"].alias("aspect_start"), o["end"].alias("aspect_end")))
+    found = cut_lineage(computed(r, {"opinions": opinions}).select("id", "domain", "language", "split", "annotations", "opinions"))
+    gold = found.select("id", "domain", "language", "split", F.explode("annotations").alias("a")).select("id", "domain", "language", "split", "a.*").select(
         "id", "domain", "language", "split", "aspect_start", "aspect_end", (F.col("aspect_end") + 1).alias("opinion_start"), (F.col("aspect_end") + 5).alias("opinion_end"),
         "sentiment", F.lower("aspect_term").alias("taxonomy"), (F.col("aspect_start") % 6 != 0).alias("relation"), "aspect_term", "annotation_confidence", "implicit")
-
-
-def pred(spark, sf):
     s = F.col("aspect_start")
     conf = F.round((s % 101) / F.lit(100.0), 2)
-    kept = gold(spark, sf).where(s % 7 != 0).select(
+    kept = gold.where(s % 7 != 0).select(
         "id", "aspect_start", F.when(s % 10 == 0, F.col("aspect_end") + 1).otherwise(F.col("aspect_end")).alias("aspect_end"), "opinion_start", "opinion_end",
         F.when(s % 4 == 0, "positive").otherwise(F.col("sentiment")).alias("sentiment"), F.when(s % 8 == 0, "other").otherwise(F.col("taxonomy")).alias("taxonomy"),
         conf.alias("overall_confidence"), (s % 5 == 0).alias("needs_human_review"))
-    o = documents(spark, sf).select(F.col("doc_id").cast("string").alias("id"), F.explode(find_spans(F.col("text"), OPINION_RE)).alias("o")).select(
-        "id", F.col("o.start").alias("aspect_start"), F.col("o.end").alias("aspect_end")).where(s % 9 == 0)
+    o = found.select("id", F.explode("opinions").alias("o")).select("id", "o.*").where(s % 9 == 0)
     extra = o.select("id", "aspect_start", "aspect_end", (F.col("aspect_end") + 2).alias("opinion_start"), (F.col("aspect_end") + 6).alias("opinion_end"),
                      F.lit("negative").alias("sentiment"), F.lit("spurious").alias("taxonomy"), conf.alias("overall_confidence"), F.lit(True).alias("needs_human_review"))
-    return kept.unionByName(extra)
+    return gold, kept.unionByName(extra)
 
 
 def _r(df, *cols, digits=9):
@@ -52,7 +56,8 @@ def _sql_prf(g, p, prefix="", extra=""):
 
 @query("evl_micro_prf", f"WITH {SQL_GP} SELECT * FROM " + _sql_prf("SELECT id, s, e, sentiment FROM gold", "SELECT id, s, e, sentiment FROM pred"))
 def micro_prf(spark, sf):
-    return _r(ev.micro_prf(gold(spark, sf), pred(spark, sf), ["id", "aspect_start", "aspect_end", "sentiment"]), "precision", "recall", "f1")
+    g, p = gold_and_pred(spark, sf)
+    return _r(ev.micro_prf(g, p, ["id", "aspect_start", "aspect_end", "sentiment"]), "precision", "recall", "f1")
 
 
 _GT = "SELECT id, s, e, os, oe, sentiment FROM gold WHERE rel"
@@ -67,17 +72,18 @@ UNION ALL SELECT * FROM {_sql_prf(_GT + " AND sentiment = 'negative'", "SELECT i
 UNION ALL SELECT * FROM {_sql_prf(_GT, "SELECT id, s, e, os, oe, sentiment FROM pred WHERE NOT review", extra="'auto_accepted' AS kind,")})
 SELECT *, round(CASE WHEN kind = 'auto_accepted' THEN (tp + fp) / (SELECT count(*) FROM (SELECT DISTINCT id, s, e, os, oe, sentiment FROM pred))::DOUBLE ELSE -1 END, 9) AS coverage FROM u""")
 def exact_by_kind(spark, sf):
-    out = ev.exact_evaluation(gold(spark, sf), pred(spark, sf))
+    out = ev.exact_evaluation(*gold_and_pred(spark, sf))
     return _r(out.withColumn("coverage", F.coalesce("prediction_coverage", F.lit(-1.0))).drop("prediction_coverage"), "precision", "recall", "f1", "coverage")
 
 
 @query("evl_evidence_triplets", f"""WITH {SQL_GP} SELECT * FROM {_sql_prf("SELECT id, s, e, os, oe, sentiment FROM gold WHERE id IN (SELECT id FROM reviews WHERE language <> 'en')",
  "SELECT id, s, e, os, oe, sentiment FROM pred WHERE id IN (SELECT id FROM reviews WHERE language <> 'en')")}""")
 def evidence_triplets(spark, sf):
-    p = pred(spark, sf).join(reviews(spark, sf).where("language <> 'en'").select("id"), "id", "left_semi").withColumn(
+    g, p = gold_and_pred(spark, sf)
+    p = p.join(reviews(spark, sf).where("language <> 'en'").select("id"), "id", "left_semi").withColumn(
         "opinion_evidence", F.array(F.struct(F.col("opinion_start").alias("start"), F.col("opinion_end").alias("end"))))
     key = ["id", "aspect_start", "aspect_end", "opinion_start", "opinion_end", "sentiment"]
-    return _r(ev.micro_prf(gold(spark, sf).where("language <> 'en'").select(*key), ev.evidence_triplets(p), key), "precision", "recall", "f1")
+    return _r(ev.micro_prf(g.where("language <> 'en'").select(*key), ev.evidence_triplets(p), key), "precision", "recall", "f1")
 
 
 # class truth and guess per order, for the class reports
@@ -145,7 +151,7 @@ UNION ALL SELECT 'pair', threshold, sum(y)::DOUBLE, sum(1 - y)::DOUBLE, round(2
  FROM (SELECT (20 + 2 * i) / 100.0::DOUBLE AS threshold FROM range(31) r(i)) JOIN (SELECT {_SQLS} AS s, {_L} AS y FROM lineitem) ON s >= threshold GROUP BY threshold""")
 def threshold_sweeps(spark, sf):
     span = ["id", "aspect_start", "aspect_end"]
-    a = ev.sweep_spans(gold(spark, sf), pred(spark, sf), span, "overall_confidence", [round(0.1 + 0.05 * i, 2) for i in range(17)])
+    a = ev.sweep_spans(*gold_and_pred(spark, sf), span, "overall_confidence", [round(0.1 + 0.05 * i, 2) for i in range(17)])
     b = ev.sweep_pairs(scored(spark, sf), "s", "y", [round(0.2 + 0.02 * i, 2) for i in range(31)])
     cols = ["threshold", F.col("tp").cast("double").alias("tp"), F.col("fp").cast("double").alias("fp"), F.round("f1", 9).alias("f1")]
     return a.select(F.lit("span").alias("sweep"), *cols).union(b.select(F.lit("pair"), *cols))
@@ -211,7 +217,7 @@ SELECT (SELECT f1 FROM {_sql_prf("SELECT id, s, e FROM gold", "SELECT id, s, e F
  (SELECT round(count(*) FILTER (sentiment = 'negative' AND neg = 1) / count(*) FILTER (sentiment = 'negative')::DOUBLE, 9) FROM j) AS negative_complaint_recall,
  (SELECT round(count(*) FILTER (gt = pt) / count(*)::DOUBLE, 9) FROM j) AS taxonomy_accuracy""")
 def operational(spark, sf):
-    out = ev.operational_report(gold(spark, sf), pred(spark, sf))
+    out = ev.operational_report(*gold_and_pred(spark, sf))
     return _r(out, *out.columns)
 
 
@@ -223,9 +229,10 @@ x AS (SELECT 'missed aspect' AS error_type FROM j WHERE NOT hit UNION ALL SELECT
  UNION ALL SELECT 'spurious aspect' FROM pp WHERE (id, s, e) NOT IN (SELECT id, s, e FROM gold))
 SELECT error_type, count(*) AS n FROM x GROUP BY 1""")
 def error_types(spark, sf):
-    g = gold(spark, sf).withColumns({
+    g, p = gold_and_pred(spark, sf)
+    g = g.withColumns({
         "opinion_term": F.when(F.col("aspect_start") % 13 == 0, "x").otherwise(F.concat(F.lit("o"), F.col("opinion_start").cast("string"))), "coreferent": F.col("id").cast("bigint") % 2 == 0})
-    p = pred(spark, sf).withColumn("opinion_terms", F.array(F.concat(F.lit("o"), F.col("opinion_start").cast("string"))))
+    p = p.withColumn("opinion_terms", F.array(F.concat(F.lit("o"), F.col("opinion_start").cast("string"))))
     return ev.error_table(g, p).groupBy("error_type").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -47,8 +47,11 @@ def micro_prf(gold: DataFrame, pred: DataFrame, key: Sequence[str], by: Sequence
     return prf_columns(counts)
 
 
-def tuple_keys(rows: DataFrame, keep: Sequence[str] = ("id",)) -> DataFrame:
-    """Each tuple as its aspect, opinion, pair and triplet key, in one pass."""
+def tuple_keys(rows: DataFrame, keep: Sequence[str] = ("id",), pair: Column | None = None, auto: Column | None = None) -> DataFrame:
+    """Each tuple as its aspect, opinion, pair and triplet key, in one pass.
+
+    Pairs and triplets only where ``pair`` holds; a triplet counts as auto accepted, too, where ``auto`` holds.
+    """
     a, o = (F.col("aspect_start"), F.col("aspect_end")), (F.col("opinion_start"), F.col("opinion_end"))
     none_i, none_s = F.lit(None).cast("int"), F.lit(None).cast("string")
 
@@ -56,12 +59,15 @@ def tuple_keys(rows: DataFrame, keep: Sequence[str] = ("id",)) -> DataFrame:
         return F.when(ok, F.struct(F.lit(kind).alias("kind"), x[0].alias("k1"), x[1].alias("k2"), y[0].alias("k3"), y[1].alias("k4"), s.alias("k5")))
 
     blank = (none_i, none_i)
-    keys = F.array(
+    paired = o[0].isNotNull() if pair is None else o[0].isNotNull() & pair
+    keys = [
         key("aspect", a, blank, none_s, a[0].isNotNull()), key("opinion", blank, o, none_s, o[0].isNotNull()),
-        key("pair", a, o, none_s, o[0].isNotNull()), key("triplet", a, o, F.col("sentiment"), o[0].isNotNull()),
-        key("negative_triplet", a, o, F.col("sentiment"), o[0].isNotNull() & (F.col("sentiment") == "negative")),
-    )
-    return rows.select(*keep, F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("k")).select(*keep, "k.*")
+        key("pair", a, o, none_s, paired), key("triplet", a, o, F.col("sentiment"), paired),
+        key("negative_triplet", a, o, F.col("sentiment"), paired & (F.col("sentiment") == "negative")),
+    ]
+    if auto is not None:
+        keys.append(key("auto_accepted", a, o, F.col("sentiment"), paired & auto))
+    return rows.select(*keep, F.explode(F.filter(F.array(*keys), lambda k: k.isNotNull())).alias("k")).select(*keep, "k.*")
 
 
 TUPLE_KEY = ["kind", "id", "k1", "k2", "k3", "k4", "k5"]
@@ -72,16 +78,14 @@ def exact_evaluation(gold: DataFrame, pred: DataFrame) -> DataFrame:
 
     Pair and triplet gold needs a three-class label and a relation that is not
     denied; the auto-accepted row keeps the gold and drops queued predictions.
+    Both sides are read once; the distinct predicted triplets are those of the triplet row.
     """
-    usable = gold.withColumn("_pair", F.col("sentiment").isin(lx.SENTIMENTS) & F.coalesce("relation", F.lit(True)))
-    spans = usable.withColumn("opinion_start", F.col("opinion_start"))
-    g = tuple_keys(spans, ["id", "_pair"]).where(F.col("kind").isin("aspect", "opinion") | F.col("_pair")).drop("_pair")
-    p = tuple_keys(pred)
-    auto_gold = g.where("kind = 'triplet'").withColumn("kind", F.lit("auto_accepted"))
-    auto_pred = tuple_keys(pred.where(~F.coalesce("needs_human_review", F.lit(True)))).where("kind = 'triplet'").withColumn("kind", F.lit("auto_accepted"))
-    scores = micro_prf(g.unionByName(auto_gold), p.unionByName(auto_pred), TUPLE_KEY, ["kind"])
-    total = p.where("kind = 'triplet'").distinct().agg(F.count(F.lit(1)).alias("_total"))
-    return scores.join(F.broadcast(total)).withColumn(
+    g = tuple_keys(gold, pair=F.col("sentiment").isin(lx.SENTIMENTS) & F.coalesce("relation", F.lit(True)), auto=F.lit(True))
+    p = tuple_keys(pred, auto=~F.coalesce("needs_human_review", F.lit(True)))
+    scores = micro_prf(g, p, TUPLE_KEY, ["kind"])
+    # one row per kind
+    total = F.max(F.when(F.col("kind") == "triplet", F.col("tp") + F.col("fp"))).over(W.partitionBy())
+    return scores.withColumn("_total", total).withColumn(
         "prediction_coverage", F.when(F.col("kind") == "auto_accepted", ratio(F.col("tp") + F.col("fp"), F.col("_total")))
     ).drop("_total")
 
