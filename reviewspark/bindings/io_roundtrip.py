@@ -15,8 +15,19 @@ from reviewspark.session import scratch_path
 from reviewspark.sources import files, records
 
 
+#: Bytes of a written file: some readers cannot split one, and a task writes and reads it whole.
+FILE_BYTES = 128 << 20
+
+
+def _n_parts(df) -> int:
+    """As many files as the table needs, at least 4."""
+    texts = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c, t in df.dtypes if t == "string"]
+    sizes = df.agg(F.count(F.lit(1)) * (16 * len(df.columns)), *texts).first()
+    return max(4, -(-sum(sizes) // FILE_BYTES))
+
+
 def _parts(df):
-    return df.repartition(4)
+    return df.repartition(_n_parts(df))
 
 
 def _with_header(lines, header: str):
@@ -80,7 +91,7 @@ def multiline_rows(spark, sf):
     """Texts with line breaks in quoted fields come back byte for byte, numbered in the order of their file."""
     path = scratch_path(spark, "multiline")
     d = documents(spark, sf).select(F.col("doc_id").alias("id"), F.col("text").alias("ulasan"))
-    _write_csv(d.repartitionByRange(4, "id").sortWithinPartitions("id"), path)
+    _write_csv(d.repartitionByRange(_n_parts(d), "id").sortWithinPartitions("id"), path)
     df = files.read_reviews_csv(spark, f"{path}/*.csv")
     here = W.partitionBy("path").orderBy(F.col("customer_id").cast("long"))
     return df.select("customer_id", F.sha2("review", 256).alias("review_sha"), (F.row_number().over(here) + 1 == F.col("row_number")).alias("in_order"))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from reviewspark.bindings import evaluations as be
+from reviewspark.bindings import io_roundtrip as io
 from reviewspark.operators import contract as ct
 from reviewspark.operators import evaluation as ev
 from reviewspark.schemas import ANNOTATIONS_DDL
@@ -45,3 +46,13 @@ def test_contract_works_the_annotations_out_once(spark):
         assert df._jdf.queryExecution().optimizedPlan().toString().count("(length(id") <= 1
     assert good.count() == 50 and issues.count() == 0
     assert [(a["aspect_start"], a["aspect_term"]) for a in good.first()["annotations"]] == [(0, "this"), (5, "wa"), (None, None)]
+
+
+def test_written_files_grow_in_number_not_in_size(spark, tmp_path, monkeypatch):
+    rows = [(i, "x" * 100, "s", "en", 100) for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    sums = io.checksums(spark, str(tmp_path)).collect()
+    assert {r["status"]: r["files"] for r in sums} == {"ok": 3, "mismatch": 1}
+    monkeypatch.setattr(io, "FILE_BYTES", 4000)
+    assert {r["status"]: r["files"] for r in io.checksums(spark, str(tmp_path)).collect()} == {"ok": 9, "mismatch": 1}
+    assert {(r["kind"], r["n"], r["chars"], r["ids"]) for r in io.json_records(spark, str(tmp_path)).collect()} == {("lines", 200, 20000, 200), ("cells", 200, 20000, 200)}
