@@ -6,6 +6,7 @@ from reviewspark.bindings import evaluations as be
 from reviewspark.bindings import io_roundtrip as io
 from reviewspark.operators import contract as ct
 from reviewspark.operators import evaluation as ev
+from reviewspark.plans import tuples
 from reviewspark.schemas import ANNOTATIONS_DDL
 
 
@@ -56,3 +57,15 @@ def test_written_files_grow_in_number_not_in_size(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(io, "FILE_BYTES", 4000)
     assert {r["status"]: r["files"] for r in io.checksums(spark, str(tmp_path)).collect()} == {"ok": 9, "mismatch": 1}
     assert {(r["kind"], r["n"], r["chars"], r["ids"]) for r in io.json_records(spark, str(tmp_path)).collect()} == {("lines", 200, 20000, 200), ("cells", 200, 20000, 200)}
+
+
+def test_tuples_decode_their_pairs_once(spark):
+    """Decoded pairs are read for the triplets and for the aspects left over, and no diagnostics are looked up without a budget."""
+    df = spark.createDataFrame([(1, "kopi enak dan murah, tempat nyaman"), (2, "kopi"), (3, "  ")], "doc_id long, text string")
+    out = tuples.review_tuples(df, aspect_patterns=[("drink", r"\bkopi\b"), ("place", r"\btempat\b")], heads=[], opinion_patterns=[("positive", r"\b(?:enak|nyaman)\b")])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "window" not in plan.lower() and "row_number" not in plan.lower()
+    got = {(r["doc_id"], r["output_type"], r["aspect_term"], r["opinion_term"]) for r in out.collect()}
+    assert got == {(1, "triplet", "kopi", "enak"), (1, "triplet", "tempat", "nyaman"), (2, "aspect_only", "kopi", None)}
+    limited = tuples.review_tuples(df, budget=1, aspect_patterns=[("drink", r"\bkopi\b"), ("place", r"\btempat\b")], heads=[], opinion_patterns=[("positive", r"\b(?:enak|nyaman)\b")])
+    assert any("incomplete_candidate_processing" in r["review_reasons"] for r in limited.where("doc_id = 1").collect())
