@@ -23,13 +23,17 @@ def split_overlaps(df: DataFrame, key: str, split: str = "split", pairs=(("train
     return sums.select(F.inline(packed))
 
 
-def audit_records(records: DataFrame, slots: str = lx.TEMPLATE_SLOTS) -> DataFrame:
+def audit_records(records: DataFrame, slots: str = lx.TEMPLATE_SLOTS, stripped: Column | None = None, approved_textless: bool = False) -> DataFrame:
     """One row of counts over review records (text, split, human_status, annotations, ...).
 
     Rows without text are counted and then leave.  Offsets are checked against
-    the stripped text; offset 0 is a valid offset.
+    the stripped text; offset 0 is a valid offset.  ``stripped`` is that text,
+    by default without white space around it and blank where it is missing; a
+    null leaves without being counted as missing.  ``approved_textless`` counts
+    approved rows without text as approved too.
     """
-    stripped = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)^\s+|\s+$", "")
+    if stripped is None:
+        stripped = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)^\s+|\s+$", "")
     base = records.withColumn("_t", stripped)
     status = F.lower(F.coalesce(F.col("human_status"), F.lit("")))
     approved = (status == "human_approved") | F.coalesce(F.col("human_approved"), F.lit(False))
@@ -43,7 +47,7 @@ def audit_records(records: DataFrame, slots: str = lx.TEMPLATE_SLOTS) -> DataFra
         F.count(F.lit(1)).alias("review_count"), F.count_if(F.col("_t") == "").alias("missing_text_count"),
         F.coalesce(F.sum(F.when(F.col("_t") != "", F.size("annotations"))), F.lit(0)).cast("bigint").alias("annotation_count"),
         F.coalesce(F.sum(F.when(F.col("_t") != "", F.size(F.filter("annotations", invalid)))), F.lit(0)).cast("bigint").alias("invalid_offset_count"),
-        F.count_if((F.col("_t") != "") & approved).alias("human_approved_count"),
+        F.count_if(approved if approved_textless else (F.col("_t") != "") & approved).alias("human_approved_count"),
     )
     split = F.lower(F.coalesce("split", F.lit("train")))
     keyed = base.where("_t <> ''").select(

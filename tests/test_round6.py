@@ -30,7 +30,7 @@ def both(spark, folder, name):
     return sorted(tuple(r) for r in got), sorted(tuple(r[i] for i in at) for r in want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["flt_row_status", "flt_canonical_contract", "flt_schema_validator", "enr_batch", "str_arriving_files", "str_progress_table"])
+@pytest.mark.parametrize("name", ["flt_row_status", "flt_canonical_contract", "flt_schema_validator", "enr_batch", "str_arriving_files", "str_progress_table", "agg_dataset_audit"])
 def test_blank_texts_as_in_sql(spark, odd, name):
     got, want = both(spark, odd, name)
     assert got == want
