@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from reviewspark.operators import partition_audit
 from reviewspark.operators import similarity as si
 from reviewspark.session import checkpoint_root
 
@@ -72,6 +73,15 @@ def test_near_keys_moves_texts_not_vectors(spark, monkeypatch):
     assert not [f for f in set(os.listdir(scratch)) - there if f.startswith(("likely", "heads"))]
 
 
+def test_quarantine_rounds_give_their_keys_back(spark):
+    scratch = os.path.join(checkpoint_root(spark), "reviewspark-scratch")
+    there = set(os.listdir(scratch)) if os.path.isdir(scratch) else set()
+    rows = [(str(i), " ".join(f"w{(i // 2 * 7 + k) % 50}" for k in range(60)) + (" x" if i % 2 else ""), "train" if i % 2 else "test", "en") for i in range(12)]
+    out = partition_audit.quarantine_near_copies(spark.createDataFrame(rows, "id string, text string, split string, language string"), 0.9)
+    assert {r["id"] for r in out.collect()} == {str(i) for i in range(1, 12, 2)}
+    assert not set(os.listdir(scratch)) - there
+
+
 def test_folded_vectors_bound_from_above():
     rng = np.random.default_rng(3)
     grams = np.sort(rng.integers(-2**62, 2**62, 400))
