@@ -2,13 +2,17 @@
 
 import math
 import os
+import time
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from reviewspark.llm import ngram_join
+from reviewspark.llm.common import stored
 from reviewspark.operators import partition_audit
 from reviewspark.operators import similarity as si
 from reviewspark.session import checkpoint_root
@@ -95,3 +99,30 @@ def test_folded_vectors_bound_from_above():
         coarse = a[:si.COARSE_PLACES] @ b[:si.COARSE_PLACES]
         fine = si._fine_dots(a[None], b[None], np.array([0]), np.array([0]))[0]
         assert coarse >= u @ v - 1e-12 and fine >= u @ v - 1e-6 and fine <= coarse + 1e-3
+
+
+def test_stored_tables_leave_no_shuffle_files_behind(spark):
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in (files.apply(i).getName() for i in range(files.size())) if f.startswith("shuffle_")}
+
+    there = shuffles()
+    out = stored(spark.range(100_000).groupBy(F.col("id") % 1000).count(), "test-shuffles")
+    # a table's shuffles go with the next table at the latest
+    stored(spark.range(3), "test-next")
+    for _ in range(50):
+        if not shuffles() - there:
+            break
+        time.sleep(0.2)
+    assert not shuffles() - there and out.count() == 1000
+
+
+def test_tied_signatures_are_all_that_several_sets_have(spark):
+    rng = np.random.default_rng(5)
+    sigs = rng.integers(-2**63, 2**63, 3000)
+    rows = [(i, [int(s) for s in rng.choice(sigs, i % 40, replace=False)], int(rng.integers(0, i % 40 + 1))) for i in range(100)]
+    df = spark.createDataFrame(rows, "uid long, sigs array<long>, rare int").repartition(5)
+    got = {(r["sig"], r["node"], r["alone"]) for r in ngram_join.tied_signatures(df).collect()}
+    nodes = Counter(s for _, x, _ in rows for s in x)
+    every = {(s, uid, i < rare) for uid, x, rare in rows for i, s in enumerate(x)}
+    assert got <= every and {t for t in every if nodes[t[0]] > 1} <= got and len(got) < len(every)
